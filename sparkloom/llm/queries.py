@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_components
 from .pii import find_pii, pii_digest
 from .secrets import find_secrets, secret_digest
 from .sharding import assign_shards
@@ -35,12 +36,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_secrets": op6_secrets,
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE = {
