@@ -10,6 +10,7 @@ from .near_dedup import near_components
 from .pii import find_pii, pii_digest
 from .secrets import find_secrets, secret_digest
 from .sharding import assign_shards
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_secrets": op6_secrets,
