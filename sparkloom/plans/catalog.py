@@ -1,6 +1,225 @@
-"""The registered queries of the engine, and the SQL that checks them."""
+"""The registered queries of the engine, and the SQL that checks them.
+
+The driver's tables hold no Han text, so table queries run the LATIN profile (same plans, at
+volume), and Han semantics run on the literal fixtures.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chars, clean, numerals, rules, segment
+from ..operators import align, dialogue, quality, select
+from ..sources import feeds
+from ..streaming import speech
+from . import lessons
+
+L = chars.LATIN
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    q = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+HAN_TEXTS = [
+    (1, "港股在下半年首個交易日顯著造好恒生指數重返兩萬三千點"), (2, "政府宣布推出新的監管政策，調查三間公司違規。"), (3, "恒指收市報25000點，升幅1.5%。"),
+    (4, "他們現在了解這個目的。"), (5, "Markets rally in New York"), (6, ""), (7, "公司2020年收入10500萬，增長15%。"),
+]
+JUNK_ROWS = [
+    (1, "網頁已經閒置了一段時間，請重新載入頁面"), (2, "使用Cookies以改善體驗"), (3, "政府今日公布新措施。"), (4, "版權所有，不得轉載"), (5, " "), (6, "相關新聞："),
+]
+TITLES = [(1, "公司簽署備忘錄 | 主頁 - 新聞"), (2, "世界盃｜決賽今晚舉行"), (3, "樓市回暖 - 某報"), (4, "要點 ｜ 首頁 | 新聞")]
+NUMBERS = ["0", "7", "10", "13", "30", "105", "110", "400", "1005", "2020", "10000", "10500", "25000", "12345", "100000000", "250060000", "00012", "12345678901234567"]
+ATTEMPTS = [(1, "我是學生", "我係學生"), (2, "他有10蚊", "佢有十蚊"), (3, "市場理想", "市長"), (4, "", "好")]
+XML = "<rss><item><title>港股造好</title><link>http://a.hk/1</link><description><![CDATA[恒生指數在下半年首個交易日顯著造好，重返兩萬三千點水平。 編輯：陳]]></description></item><item><title>Markets</title><link>http://a.hk/2</link><description>Markets rally</description></item></rss>"
+
+
+def char_measures(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    c = F.col("text")
+    return t.select("doc_id", chars.script_count(c, L).alias("letters"), F.round(chars.script_fraction(c, L), 6).alias("fraction"), F.round(chars.digit_density(c), 6).alias("density"))
+
+
+def studyable_filter(spark, d):
+    return _t(spark, d, "documents").where(chars.is_studyable(F.col("text"), L, 200)).select("doc_id")
+
+
+def split_sentences(spark, d):
+    t = _t(spark, d, "documents")
+    return t.select("doc_id", F.posexplode(segment.sentences(F.col("text"), L)).alias("pos", "sentence"))
+
+
+def pack_units(spark, d):
+    rows = lessons.units(_t(spark, d, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn")), "k", "text", L)
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("units"), F.sum("chars").cast("long").alias("letters"))
+
+
+def page_paragraphs(spark, d):
+    t = _t(spark, d, "pages")
+    return t.select("page_id", F.posexplode(clean.page_paragraphs(F.col("html"))).alias("pos", "paragraph")).where("paragraph <> ''")
+
+
+def article_bodies(spark, d):
+    t = _t(spark, d, "pages")
+    return t.select("page_id", clean.article_body(F.col("html"), L).alias("body"))
+
+
+def junk_filter(spark, d):
+    return _values(spark, JUNK_ROWS, "id int, p string").select("id", clean.is_junk(F.col("p")).alias("junk"))
+
+
+def clean_titles(spark, d):
+    return _values(spark, TITLES, "id int, t string").select("id", clean.clean_title(F.col("t")).alias("title"))
+
+
+def rss_items(spark, d):
+    f = _values(spark, [(0, "a", XML), (1, "b", XML)], "feed_ord int, source string, xml string")
+    return feeds.primary_articles(f).select("feed_ord", "item_ord", "title", "link", "description")
+
+
+def news_scores(spark, d):
+    return _values(spark, HAN_TEXTS, "id int, t string").select("id", F.round(chars.news_score(F.col("t"), F.lit("")), 4).alias("score"))
+
+
+def dedup_first_wins(spark, d):
+    t = _t(spark, d, "documents")
+    return select.first_per_key(t.withColumn("h", F.sha2("text", 256)), F.col("h"), F.col("doc_id")).select("doc_id", "source")
+
+
+def dedup_greedy(spark, d):
+    t = _t(spark, d, "pages").select("page_id", clean.hostname(F.col("url")).alias("host"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length("html").alias("n"))
+    return select.greedy_two_key(t, "page_id", "title", "host", "n").select(F.col("ord").alias("page_id"), F.col("t").alias("prefix"), F.col("d").alias("host"))
+
+
+def balanced_pick(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return select.balanced(t, "source", "doc_id", F.col("n_chars"), 12).select("doc_id", "source", "rk")
+
+
+def rules_rewrite(spark, d):
+    return _values(spark, HAN_TEXTS, "id int, t string").select("id", rules.rewrite(F.col("t")).alias("colloquial"))
+
+
+def cardinal_reading(spark, d):
+    return _values(spark, [(n,) for n in NUMBERS], "n string").select("n", numerals.cardinal_reading(F.col("n")).alias("reading"))
+
+
+def spell_numbers(spark, d):
+    return _values(spark, HAN_TEXTS, "id int, t string").select("id", numerals.spell_out(clean.normalize_digits(F.col("t"))).alias("spelled"))
+
+
+def digits_reading(spark, d):
+    return _t(spark, d, "part").select("p_partkey", numerals.digits_reading(F.col("p_partkey").cast("string")).alias("reading"))
+
+
+def align_invariants(spark, d):
+    t = _values(spark, HAN_TEXTS, "id int, t string").select("id", F.col("t").alias("f"), rules.rewrite(F.col("t")).alias("c"))
+    t = t.withColumn("pairs", align.align_pairs("f", "c"))
+    return t.select("id", (rules.valid_pairs(F.col("pairs"), F.col("f"), F.col("c")).isNotNull()).alias("ok"))
+
+
+def grade_attempts(spark, d):
+    table = F.create_map(F.lit("場"), F.array(F.lit("coeng")), F.lit("長"), F.array(F.lit("coeng"), F.lit("zoeng")))
+    t = align.grade(_values(spark, ATTEMPTS, "id int, t string, h string"), "t", "h", table)
+    return t.select("id", F.round("accuracy", 4).alias("accuracy"), align.band(F.col("accuracy")).alias("band"))
+
+
+def sentence_quality(spark, d):
+    rows = [(1, "他好", "佢好", ["keoi5", "hou2"], [("他", "佢"), ("好", "好")]), (2, "", "佢", ["keoi5"], None), (3, "他", "佢", [], [("他", "你")])]
+    t = _values(spark, rows, "id int, f string, c string, j array<string>, p array<struct<f:string,c:string>>")
+    return quality.failures(t, "id", quality.sentence_rules(F.col("f"), F.col("c"), F.col("j"), F.col("p")))
+
+
+def dialogue_voices(spark, d):
+    v = dialogue.assign_voices(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return v.select("conv_id", "turn", "role", "voice", dialogue.audio_name(F.col("text"), F.col("voice")).alias("audio"))
+
+
+def curriculum_checks(spark, d):
+    t = _values(spark, [(1, "他們來", "佢哋嚟"), (2, "佢來", "佢嚟"), (3, "3個人", "三個人")], "id int, f string, c string")
+    return quality.failures(t, "id", quality.curriculum_rules(F.col("f"), F.col("c"), "佢哋嘅咗"))
+
+
+def tier_fallback(spark, d):
+    rows = [(1, "a", "A", None, "r"), (2, "a", None, "a", "r"), (3, "a", None, "B", "r"), (4, "a", None, None, "r")]
+    t = _values(spark, rows, "id int, f string, t1 string, t2 string, r string")
+    return t.select("id", select.tiered(F.col("f"), F.col("t1"), F.col("t2"), F.col("r")).alias("x")).select("id", "x.text", "x.method")
+
+
+def speech_sessions(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id"), F.col("ts"))
+    return speech.sessions(e, "user_id", "ts", "30 minutes").select("user_id", F.date_format("stop", "yyyy-MM-dd HH:mm:ss").alias("stop"), "n")
+
+
+def hostnames(spark, d):
+    return _t(spark, d, "pages").select("page_id", clean.hostname(F.col("url")).alias("host"))
+
+
+def lesson_units(spark, d):
+    """The chain: pages to bodies to units, best pages first; the Han fixture rewritten beside it."""
+    bodies = article_bodies(spark, d).where("body <> ''").select(F.concat(F.lit("page-"), "page_id").alias("k"), "body")
+    latin = lessons.units(bodies, "k", "body", L)
+    han = lessons.units(_values(spark, HAN_TEXTS, "id int, t string").select(F.concat(F.lit("han-"), "id").alias("k"), F.col("t").alias("body")), "k", "body")
+    return lessons.lesson_sentences(han).unionByName(latin.withColumn("colloquial", F.col("formal")), allowMissingColumns=True).drop("pairs")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        char_measures, studyable_filter, split_sentences, pack_units, page_paragraphs, article_bodies, junk_filter, clean_titles, rss_items, news_scores, dedup_first_wins,
+        dedup_greedy, balanced_pick, rules_rewrite, cardinal_reading, spell_numbers, digits_reading, align_invariants, grade_attempts, sentence_quality, dialogue_voices,
+        curriculum_checks, tier_fallback, speech_sessions, hostnames, lesson_units,
+    )
+}
+
+_JUNK_SQL = " OR ".join("regexp_matches(trim(p), '" + j.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b") + "')" for j in clean.JUNK)
+_TRIM = r"'^[\s\x0B]+|[\s\x0B]+$', '', 'g'"
+_NEWS, _REPORT = "|".join(chars.NEWS_WORDS), "|".join(chars.REPORT_WORDS) + "|報[0-9]"
+
+ORACLE = {
+    "char_measures": r"""
+        SELECT doc_id, len(regexp_extract_all(t, '\p{L}')) AS letters, CASE WHEN len(regexp_extract_all(t, '\p{L}')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS fraction,
+               round(CASE WHEN t = '' THEN 0 ELSE (len(regexp_extract_all(t, '[0-9]')) + len(regexp_extract_all(t, '%|百分')))::DOUBLE / length(t) END, 6) AS density
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "studyable_filter": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\p{L}')) >= 200",
+    "split_sentences": rf"""
+        SELECT doc_id, (pos - 1)::INT AS pos, s[pos] AS sentence FROM (
+          SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (
+            SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^\n.!?;:,]*[.!?;:,]+|[^\n.!?;:,]+'), lambda x: regexp_replace(x, {_TRIM})), lambda x: x <> '') AS s FROM documents))""",
+    "junk_filter": f"SELECT id, trim(p) = '' OR {_JUNK_SQL} AS junk FROM {_sql_values(JUNK_ROWS, 'id, p')}".replace(r"\z", "$"),
+    "news_scores": f"""
+        SELECT id, round(len(regexp_extract_all(x, '{_NEWS}')) * 3 - len(regexp_extract_all(x, '{_REPORT}')) * 1.5
+               - 20 * (len(regexp_extract_all(x, '[0-9]')) + len(regexp_extract_all(x, '%|百分')))::DOUBLE / length(x), 4) AS score
+        FROM (SELECT id, t || ' ' AS x FROM {_sql_values(HAN_TEXTS, 'id, t')})""",
+    "dedup_first_wins": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
+    "balanced_pick": """
+        SELECT doc_id, source, rk::INT AS rk FROM (
+          SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk, min(doc_id) OVER (PARTITION BY source) AS so FROM documents)
+        ORDER BY rk, so LIMIT 12""",
+    "digits_reading": "SELECT p_partkey, translate(p_partkey::VARCHAR, '0123456789', '零一二三四五六七八九') AS reading FROM part",
+    "dialogue_voices": """
+        WITH c AS (SELECT *, coalesce(nullif(role, ''), '?') AS who FROM conversations WHERE coalesce(text, '') <> ''),
+        f AS (SELECT conv_id, who, min(turn) AS fi FROM c GROUP BY ALL),
+        k AS (SELECT conv_id, who, (dense_rank() OVER (PARTITION BY conv_id ORDER BY fi) - 1) % 3 AS k FROM f),
+        v AS (SELECT c.conv_id, turn, role, text, ['zh-HK-HiuMaanNeural', 'zh-HK-WanLungNeural', 'zh-HK-HiuGaaiNeural'][k + 1] AS voice FROM c JOIN k USING (conv_id, who))
+        SELECT conv_id, turn, role, voice, substr(sha1(text || '|' || voice), 1, 16) || '.mp3' AS audio FROM v""",
+    "curriculum_checks": "SELECT * FROM (VALUES (2, 'written-layer'), (3, 'digits')) AS v(id, rule)",
+    "tier_fallback": "SELECT * FROM (VALUES (1, 'A', 'tier1'), (2, 'r', 'tier2'), (3, 'B', 'tier2'), (4, 'r', 'rules')) AS v(id, text, method)",
+    "speech_sessions": """
+        WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM k GROUP BY user_id, k""",
+    "hostnames": "SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages",
+    "cardinal_reading": "SELECT * FROM " + _sql_values(list(zip(NUMBERS, "零 七 十 十三 三十 一百零五 一百一十 四百 一千零五 二千零二十 一萬 一萬零五百 二萬五千 一萬二千三百四十五 一億 二億五千零六萬 十二 一二三四五六七八九零一二三四五六七".split(), strict=True)), "n, reading"),
+    "align_invariants": "SELECT id, t <> '' AS ok FROM " + _sql_values(HAN_TEXTS, "id, t"),
+}
