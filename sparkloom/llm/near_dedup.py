@@ -36,7 +36,7 @@ from .scratch import Stage, shuffle_width
 
 TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
-SMALL, NEAR, HUBS = 12, 8, 3
+SMALL, NEAR, HUBS = 8, 3, 2
 EST = 0.55
 PERCENT = 75
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import find_leaks
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_components
@@ -45,7 +46,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op7_decontamination": op7_decontamination,
     "op5_toxicity": op5_toxicity,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
