@@ -9,8 +9,8 @@ documents that lie in the largest regions over all trees, as the original of a g
 what the task boundaries separate is paired in a second, small pass.
 
 Candidates are dropped when set sizes or signatures (``EST`` is four standard errors below 0.75)
-rule a link out.  The others are confirmed on full sets: first each document's best candidate, then
-all that still join different components.
+rule a link out.  All others are confirmed on full sets, which are computed again from the texts of
+the documents that have a candidate (found by broadcast up to ``ASKED_BROADCAST`` ids).
 
 At similarity 0.75 a pair shares no region with probability (1 - 0.75**3)**24, about 2e-6.
 
@@ -38,6 +38,7 @@ TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
 SMALL, NEAR, HUBS = 8, 3, 2
 EST = 0.55
+ASKED_BROADCAST = 1_000_000
 PERCENT = 75
 
 _rng = np.random.default_rng(75)
@@ -274,23 +275,16 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = candidate_pairs(nodes, stage)
     involved = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     asked = stage.table(nodes.join(involved, "fp", "left_semi").select("fp", "rep"), "asked")
-    texts = docs.join(asked, docs["id"].eqNullSafe(asked["rep"])).select("fp", "text")
+    if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
+        asked = F.broadcast(asked)
+    texts = docs.join(asked, docs["id"].eqNullSafe(F.col("rep"))).select("fp", "text")
     sets = stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), "sets")
     sa = sets.select(F.col("fp").alias("a"), F.col("set").alias("xa"))
     sb = sets.select(F.col("fp").alias("b"), F.col("set").alias("xb"))
 
-    def confirmed(some: DataFrame, label: str) -> DataFrame:
-        full = some.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
-        return stage.table(full.mapInArrow(_confirm, "a binary, b binary"), label)
-
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), "est", "a", "b"), F.struct(F.col("b").alias("u"), "est", "a", "b"))).alias("x")).select("x.*")
-    best = ends.groupBy("u").agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = confirmed(stage.table(best, "best"), "links1")
-    roots = stage.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), stage, "cc1"), "roots1")
-    ra, rb = roots.select(F.col("u").alias("a"), F.col("root").alias("ra")), roots.select(F.col("u").alias("b"), F.col("root").alias("rb"))
-    apart = pairs.select("a", "b").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = links.unionByName(confirmed(stage.table(apart, "apart"), "links2"))
-    roots = stage.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), stage, "cc2"), "roots2")
+    full = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
+    links = stage.table(full.mapInArrow(_confirm, "a binary, b binary"), "links")
+    roots = stage.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), stage, "cc"), "roots")
     rooted = stage.table(nodes.select("fp", "rep").join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     least = stage.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     ids = stage.table(rooted.join(least, "root").select("fp", "component_id"), "ids")

@@ -11,7 +11,9 @@ from .near_dedup import near_components
 from .pii import find_pii, pii_digest
 from .secrets import find_secrets, secret_digest
 from .sharding import assign_shards
+from .toolcalls import REPLY, conversation_calls, link_calls
 from .toxicity import toxicity
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(*conversation_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
+    "op2_warc": op2_warc,
     "op7_decontamination": op7_decontamination,
     "op5_toxicity": op5_toxicity,
     "op3_mixing": op3_mixing,
