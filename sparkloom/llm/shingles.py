@@ -95,7 +95,7 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list
     return out
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, end offsets) of runs of rows; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -107,7 +107,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row + 1 : end + 1] - at[row]
         row = end
 

@@ -40,6 +40,7 @@ BITS = 20
 DISCOUNT = 0.75
 TOP = 0.01
 CURVE_ROWS = 20_000
+PIECE = 1 << 18  # bytes of text worked on at once, which bounds a worker's memory
 LABELS_BROADCAST = 4_000_000
 THRESHOLD = 0.3
 
@@ -89,7 +90,7 @@ def _count_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
-        for row, end, data, ends in S.pieces(batch.column("text")):
+        for row, end, data, ends in S.pieces(batch.column("text"), PIECE):
             if not len(data):
                 continue
             b, at, text = _padded(data, ends)
@@ -119,7 +120,7 @@ def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held[:] = [(u, a[first], c[first], w[first])]
 
     for batch in batches:
-        for _, _, data, ends in S.pieces(batch.column("text")):
+        for _, _, data, ends in S.pieces(batch.column("text"), PIECE):
             if not len(data):
                 continue
             b, at, _ = _padded(data, ends)
@@ -222,7 +223,7 @@ def _evidence_rows(model_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.of(model_bc.value)
         for batch in batches:
-            for row, end, data, ends in S.pieces(batch.column("text")):
+            for row, end, data, ends in S.pieces(batch.column("text"), PIECE):
                 x = m.evidence(data, ends)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, end - row), *[pa.array(x[:, i]) for i in range(3)]], ["toxic", "a", "b", "c"])
 
@@ -233,7 +234,7 @@ def _score_rows(model_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.of(model_bc.value)
         for batch in batches:
-            for row, end, data, ends in S.pieces(batch.column("text")):
+            for row, end, data, ends in S.pieces(batch.column("text"), PIECE):
                 others = [batch.column(i).slice(row, end - row) for i in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(m.scores(m.evidence(data, ends)))], [*batch.schema.names, "_score"])
 
