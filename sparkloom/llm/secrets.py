@@ -87,9 +87,12 @@ def chi_squared_p(ranks: Column, size: Column) -> Column:
     def share(j: int) -> Column:  # of symbols r with floor(r * CELLS / size) = j
         return (F.ceil(size * (j + 1) / F.lit(float(CELLS))) - F.ceil(size * j / F.lit(float(CELLS)))) / size.cast("double")
 
+    def in_cell(j: int):
+        return lambda r: F.floor(r * CELLS / size) == j
+
     x2 = F.lit(0.0)
     for j in range(CELLS):
-        seen = F.size(F.filter(ranks, lambda r, j=j: F.floor(r * CELLS / size) == j)).cast("double")
+        seen = F.size(F.filter(ranks, in_cell(j))).cast("double")
         x2 = x2 + (seen - n * share(j)) * (seen - n * share(j)) / (n * share(j))
     df = CELLS - 1
     z = (F.pow(x2 / df, F.lit(1 / 3)) - F.lit(1 - 2 / (9 * df))) / F.lit((2 / (9 * df)) ** 0.5)
