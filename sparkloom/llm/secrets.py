@@ -33,7 +33,7 @@ HEX_RE = r"[0-9a-f]{24,}+"
 MIN_TOKEN = 20
 TOKEN_RE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+"
 CELLS = 8
-ALPHA, Q, BITS_PER_CHAR = 0.001, 0.05, 0.4
+ALPHA, Q, BITS_PER_CHAR = 0.01, 0.05, 0.4
 
 #: Alphabets from the narrowest; the first that holds every character of a token is its encoding.
 ALPHABETS = {
@@ -53,7 +53,10 @@ def encoding_of(token: Column) -> Column:
     """The narrowest alphabet that holds the token, or null."""
     out = F.lit(None).cast("string")
     for name, chars in reversed(ALPHABETS.items()):
-        out = F.when(F.translate(token, chars, "") == "", name).otherwise(out)
+        fits = F.translate(token, chars, "") == ""
+        if name.lower() == "base36":  # letters of one case alone are a word, and no draw from 36 symbols
+            fits = fits & F.rlike(token, F.lit("[0-9]"))
+        out = F.when(fits, name).otherwise(out)
     return out
 
 
