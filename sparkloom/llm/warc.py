@@ -109,7 +109,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     first = stage.table(seen.where(F.col("n") >= least).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
     revisit = seen.where(F.col("n") >= least).join(first, "same").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("rid"), "first")
     revisit = stage.table(revisit.distinct(), "revisit")
-    sample = rows.select("html").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("s"))
+    # Only ids are ranked; the sampled payloads are then read by them.
+    ids = stage.table(seen.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(F.col("id").alias("sid")), "sampled")
+    sample = rows.join(F.broadcast(ids), F.col("id") == F.col("sid")).select("id", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("s"))
+    sample = sample.groupBy("id").agg(F.min("s").alias("s")).orderBy("id")
     words = spark.sparkContext.broadcast(train_dictionary([bytes(r["s"]) for r in sample.collect()]))
     joined = rows.join(revisit, rows["id"].eqNullSafe(revisit["rid"]), "left").select("id", "url", "html", "first")
     width = shuffle_width(spark)
