@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are lowered (A-Z) with runs of blanks as one space, as bytes.  A region within k
+Texts and items are lowered with runs of blanks as one space, as bytes.  A region within k
 edits of an item of m bytes shares at least m - q + 1 - k * q q-grams with it, on diagonals (text
 place minus item place) at most k apart.  So shared q-grams are counted per item in diagonal bands
 of width 2(k + 1) that overlap by half, bands below the bound are discarded, and the others are
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def index(items: list[tuple]) -> dict:
     """What a block of (id, text) needs at each task, as plain arrays."""
     ids, texts, seen = [], [], set()
     for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0)):
-        raw = np.frombuffer((text or "").strip(" \t\n\v\f\r").encode(), np.uint8)
+        raw = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().strip(" \t\n\v\f\r").encode(), np.uint8)
         b = normal(raw, np.array([len(raw)]))[0]
         if len(b) and b.tobytes() not in seen:
             seen.add(b.tobytes())
@@ -164,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = bc.value
             for batch in batches:
-                for row, _, data, ends in S.pieces(batch.column("text")):
+                for row, _, data, ends in S.pieces(pc.utf8_lower(batch.column("text"))):
                     found = search(*normal(data, ends), ix)
                     if found:
                         t, i, e, lo, hi = zip(*found, strict=True)
@@ -190,7 +191,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             ix = bc.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for row, _, data, ends in S.pieces(batch.column(place)):
+                for row, _, data, ends in S.pieces(pc.utf8_lower(batch.column(place))):
                     clean[[row + x[0] for x in search(*normal(data, ends), ix)]] = False
                 yield batch.filter(pa.array(clean))
 
