@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.chars import only_script
 from ..functions.numerals import spell_out
@@ -13,6 +14,8 @@ from ..functions.numerals import spell_out
 SPOKEN = "係喺嘅咗唔冇佢哋畀食飲睇嚟諗搵揾攞郁嗰呢同講話乜"
 WRITTEN = "是在的了不沒他們給吃喝看來想找找拿動那這和說說甚"
 
+_PAIRS = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("c", T.StringType())]))
+
 
 def _suffix_lcs(a: str, b: str) -> np.ndarray:
     x, y = np.array(list(a)), np.array(list(b))
@@ -75,8 +78,8 @@ def match_places(a: str, b: str) -> list[int]:
     return out
 
 
-align_pairs = F.udf(align, "array<struct<f:string,c:string>>", useArrow=True)
-_places = F.udf(lambda a, b: match_places(a or "", b or ""), "array<int>", useArrow=True)
+align_pairs = F.udf(align, _PAIRS, useArrow=True)
+_places = F.udf(lambda a, b: match_places(a or "", b or ""), T.ArrayType(T.IntegerType()), useArrow=True)
 
 
 def canonical(c: Column) -> Column:
