@@ -62,79 +62,106 @@ def _padded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _grams(b: np.ndarray) -> list[np.ndarray]:
-    """hashes[k][i]: of the k + 1 bytes that end at i (wrapping before the start, which is padding)."""
-    out = [_BYTE[b]]
+    """hashes[k][i]: of the k + 1 bytes that end at i (short at the start, which is padding)."""
+    one = _BYTE[b]
+    out = [one]
     for k in range(1, ORDER):
-        out.append((np.concatenate([out[-1][:1], out[-1][:-1]]) + np.uint64(k)) * _STEP + _BYTE[b])
+        h = one.copy()
+        h[1:] += (out[-1][:-1] + np.uint64(k)) * _STEP
+        out.append(h)
     return out
 
 
+def _hash(cols: list[np.ndarray]) -> np.ndarray:
+    """The hash of ``_grams`` for sequences given as byte columns, first byte first."""
+    h = _BYTE[cols[0]]
+    for k, c in enumerate(cols[1:], 1):
+        h = (h + np.uint64(k)) * _STEP + _BYTE[c]
+    return h
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int32)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).view(np.int64)
 
 
-def _before(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h[:1], h[:-1]])
+def _after(c: np.ndarray) -> np.ndarray:
+    """The cell before each place."""
+    return np.concatenate([c[:1], c[:-1]])
 
 
-def _count_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, sequence, its context's cell, its own cell, count) of a task's labelled texts."""
-    held: dict[int, list] = {0: [], 1: []}
+def _packed(b: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes that end at each place as one integer (n at most 7)."""
+    wide = b.astype(np.int64)
+    out = wide.copy()
+    for k in range(1, n):
+        out[k:] |= wide[:-k] << (8 * k)
+    return out
+
+
+def _columns(keys: np.ndarray, n: int) -> list[np.ndarray]:
+    return [((keys >> (8 * k)) & 255) for k in range(n - 1, -1, -1)]
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], np.add.reduceat(n, start)
+
+
+HELD = 8  # pieces' results merged at once
 
-    def squeeze(y: int) -> None:
-        h = np.concatenate([x[0] for x in held[y]])
-        c = np.concatenate([x[1] for x in held[y]])
-        n = np.concatenate([x[2] for x in held[y]])
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        held[y] = [(u, c[first], np.bincount(back, n).astype(np.int64))]
 
+def _count_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sequence of ORDER bytes with the class above them, count) of a task's labelled texts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
+        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for row, end, data, ends in S.pieces(batch.column("text"), PIECE):
             if not len(data):
                 continue
             b, at, text = _padded(data, ends)
-            g = _grams(b)
-            full, ctx = g[ORDER - 1][at], _cell(_before(g[ORDER - 2]))[at]
-            y = label[row:end][text]
-            for k in (0, 1):
-                if (m := y == k).any():
-                    u, first, n = np.unique(full[m], return_index=True, return_counts=True)
-                    held[k].append((u, ctx[m][first], n))
-                    if len(held[k]) > 8:
-                        squeeze(k)
-    for y in (0, 1):
-        if held[y]:
-            squeeze(y)
-            h, c, n = held[y][0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), y, np.int32)), pa.array(h.view(np.int64)), pa.array(c), pa.array(_cell(h)), pa.array(n)], ["toxic", "seq", "ctx", "cell", "n"])
+            held.append(np.unique(_packed(b, ORDER)[at] | (label[row:end][text] << (8 * ORDER)), return_counts=True))
+            if len(held) > HELD:
+                held = [_merged(held)]
+    if held:
+        keys, n = _merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["seq", "n"])
 
 
-def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (sequence of SHARED + 1 bytes, cells of its last SHARED bytes and of their context, last byte)."""
-    held, size = [], 0
+def _class_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted sequences with their class, context's cell and own cell."""
+    for batch in batches:
+        keys = batch.column("seq").to_numpy()
+        cols = _columns(keys, ORDER)
+        toxic = (keys >> (8 * ORDER)).astype(np.int32)
+        cells = [pa.array(_cell(_hash(c)).astype(np.int32)) for c in (cols[:-1], cols)]
+        yield pa.RecordBatch.from_arrays([pa.array(toxic), *cells, batch.column("n")], ["toxic", "ctx", "cell", "n"])
 
-    def squeeze() -> None:
-        h, a, c, w = (np.concatenate([x[i] for x in held]) for i in range(4))
-        u, first = np.unique(h, return_index=True)
-        held[:] = [(u, a[first], c[first], w[first])]
 
+def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct sequences of SHARED + 1 bytes of a task's texts."""
+    held: list[np.ndarray] = []
     for batch in batches:
         for _, _, data, ends in S.pieces(batch.column("text"), PIECE):
             if not len(data):
                 continue
             b, at, _ = _padded(data, ends)
-            g = _grams(b)
-            u, first = np.unique(g[SHARED][at], return_index=True)
-            at = at[first]
-            held.append((u, _cell(g[SHARED - 1][at]), _cell(g[SHARED - 2][at - 1]), b[at].astype(np.int32)))
-            size += 1
-            if size % 8 == 0:
-                squeeze()
+            held.append(np.unique(_packed(b, SHARED + 1)[at]))
+            if len(held) > HELD:
+                held = [np.unique(np.concatenate(held))]
     if held:
-        squeeze()
-        h, a, c, w = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(c), pa.array(w)], ["seq", "cell", "ctx", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["seq"])
+
+
+def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the sequences' last SHARED bytes and of their context, and the last byte."""
+    for batch in batches:
+        cols = _columns(batch.column("seq").to_numpy(), SHARED + 1)[1:]
+        cells = [_cell(_hash(c)).astype(np.int32) for c in (cols, cols[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cells, cols[-1].astype(np.int32))], ["cell", "ctx", "last"])
 
 
 class Model:
@@ -145,13 +172,13 @@ class Model:
         z = lambda: np.zeros(n, np.float32)
         self.n, self.total, self.types = [z(), z()], [z(), z()], [z(), z()]
         self.s_n, self.s_total, self.s_types, self.byte = z(), z(), z(), np.zeros(256, np.float64)
-        self.curve = None
+        self.curve = self.made = None
 
     @classmethod
     def of(cls, tables: dict) -> Model:
         """A model over broadcast tables, which are plain arrays so that any worker can read them."""
         m = cls.__new__(cls)
-        m.__dict__ = tables
+        m.__dict__ = dict(tables)
         return m
 
     def evidence(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -159,23 +186,16 @@ class Model:
         out = np.zeros((len(ends), 3))
         if not len(data):
             return out
+        t = self.ready()
         b, at, text = _padded(data, ends)
         g = _grams(b)
-        d = DISCOUNT
-        one = ((self.byte + 1) / (self.byte.sum() + 256))[b[at]]
-        cell, ctx = _cell(g[SHARED - 1][at]), _cell(g[SHARED - 2][at - 1])
-        total = self.s_total[ctx]
-        seen = total > 0
-        safe = np.where(seen, total, 1)
-        low = np.where(seen, (np.maximum(self.s_n[cell] - d, 0) + d * self.s_types[ctx] * one) / safe, one)
-        cell, ctx = _cell(g[ORDER - 1][at]), _cell(g[ORDER - 2][at - 1])
-        ll = []
-        for y in (0, 1):
-            total = self.total[y][ctx]
-            seen = total > 0
-            safe = np.where(seen, total, 1)
-            ll.append(np.log(np.where(seen, (np.maximum(self.n[y][cell] - d, 0) + d * self.types[y][ctx] * low) / safe, low) + 1e-12))
-        diff = ll[1] - ll[0]
+        share = t["shared_ctx"][_after(_cell(g[SHARED - 2]))]
+        low = t["shared"][_cell(g[SHARED - 1])] * share[:, 0] + share[:, 1] * t["one"][b]
+        ctx = t["ctx"][_after(_cell(g[ORDER - 2]))]
+        own = t["own"][_cell(g[ORDER - 1])]
+        del g
+        p = [own[:, y] * ctx[:, 2 * y] + ctx[:, 2 * y + 1] * low + np.float32(1e-12) for y in (0, 1)]
+        diff = np.log(p[1] / p[0])[at].astype(np.float64)
         lens = np.diff(np.concatenate([[0], ends]))
         out[:, 0] = np.bincount(text, diff, len(ends)) / np.maximum(lens, 1)
         blank = S._SPACE[data]
@@ -186,16 +206,36 @@ class Model:
         word = np.cumsum(start) - 1
         inside = ~blank
         words = np.bincount(word[inside], diff[inside], int(start.sum()))
-        owner = text[start]
-        order = np.lexsort((-words, owner))
-        first = np.searchsorted(owner, np.arange(len(ends) + 1))
+        first = np.searchsorted(text[start], np.arange(len(ends) + 1)).tolist()
         for i in range(len(ends)):
             k = first[i + 1] - first[i]
             if k:
-                out[i, 1] = words[order[first[i] : first[i] + max(1, int(np.ceil(TOP * k)))]].mean()
+                top = max(1, int(np.ceil(TOP * k)))
+                own = words[first[i] : first[i + 1]]
+                out[i, 1] = own.max() if top == 1 else np.partition(own, k - top)[k - top :].mean()
                 out[i, 2] = np.log(k)
         return out
 
+    def ready(self) -> dict[str, np.ndarray]:
+        """Tables from which a place's probabilities are one product and sum each."""
+        if self.made is None:
+            d = DISCOUNT
+
+            def lower(total: np.ndarray, types: np.ndarray) -> list[np.ndarray]:
+                seen = total > 0
+                safe = np.where(seen, total, 1)
+                return [np.where(seen, 1 / safe, 0), np.where(seen, d * types / safe, 1)]
+
+            pack = lambda cols: np.ascontiguousarray(np.column_stack(cols).astype(np.float32))
+            self.made = {
+                "own": pack([np.maximum(n - d, 0) for n in self.n]),
+                "ctx": pack([c for y in (0, 1) for c in lower(self.total[y], self.types[y])]),
+                "shared": np.maximum(self.s_n - d, 0).astype(np.float32),
+                "shared_ctx": pack(lower(self.s_total, self.s_types)),
+                "one": ((self.byte + 1) / (self.byte.sum() + 256)).astype(np.float32),
+            }
+        return self.made
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(x))
@@ -263,19 +303,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for i, t in enumerate(targets):
                 t[at] = part.column(i + 1).to_numpy()
 
-    counts = known.where("fold IN (0, 1)").select("text", "toxic").mapInArrow(_count_class, "toxic int, seq long, ctx int, cell int, n long")
-    counts = stage.table(counts.groupBy("toxic", "seq", "ctx", "cell").agg(F.sum("n").alias("n")), "counts")
+    counts = known.where("fold IN (0, 1)").select("text", "toxic").mapInArrow(_count_class, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n"))
+    counts = stage.table(counts.mapInArrow(_class_cells, "toxic int, ctx int, cell int, n long"), "counts")
     for y in (0, 1):
         one = counts.where(F.col("toxic") == y)
         fill(one.groupBy("cell").agg(F.sum("n").alias("n")), "cell", [model.n[y]])
         fill(one.groupBy("ctx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), "ctx", [model.total[y], model.types[y]])
-    seqs = docs.select(F.col(text_col).alias("text")).mapInArrow(_shared_seqs, "seq long, cell int, ctx int, last int")
-    seqs = stage.table(seqs.groupBy("seq").agg(F.min("cell").alias("cell"), F.min("ctx").alias("ctx"), F.min("last").alias("last")), "shared")
+    seqs = docs.select(F.col(text_col).alias("text")).mapInArrow(_shared_seqs, "seq long").distinct().mapInArrow(_shared_cells, "cell int, ctx int, last int")
     cells = stage.table(seqs.groupBy("cell", "ctx", "last").agg(F.count(F.lit(1)).alias("n")), "cells")
     fill(cells.groupBy("cell").agg(F.sum("n").alias("n")), "cell", [model.s_n])
     fill(cells.groupBy("ctx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), "ctx", [model.s_total, model.s_types])
     fill(cells.groupBy("last").agg(F.count(F.lit(1)).alias("n")), "last", [model.byte])
-    stage.drop("shared", "cells", "counts")
+    stage.drop("cells", "counts")
     rows = known.where("fold = 3")
     # The bound on the curve's sample: the rows whose ids have the smallest hashes.
     ids = lab.where("fold = 3").select("lid").orderBy(F.xxhash64("lid"), "lid").limit(CURVE_ROWS)
