@@ -189,10 +189,11 @@ class Model:
         t = self.ready()
         b, at, text = _padded(data, ends)
         g = _grams(b)
-        share = t["shared_ctx"][_after(_cell(g[SHARED - 2]))]
-        low = t["shared"][_cell(g[SHARED - 1])] * share[:, 0] + share[:, 1] * t["one"][b]
-        ctx = t["ctx"][_after(_cell(g[ORDER - 2]))]
-        own = t["own"][_cell(g[ORDER - 1])]
+        rows = lambda name, cells: t[name].take(cells).view(np.float32).reshape(len(b), -1)
+        share = rows("shared_ctx", _after(_cell(g[SHARED - 2])))
+        low = t["shared"].take(_cell(g[SHARED - 1])) * share[:, 0] + share[:, 1] * t["one"].take(b)
+        ctx = rows("ctx", _after(_cell(g[ORDER - 2])))
+        own = rows("own", _cell(g[ORDER - 1]))
         del g
         p = [own[:, y] * ctx[:, 2 * y] + ctx[:, 2 * y + 1] * low + np.float32(1e-12) for y in (0, 1)]
         diff = np.log(p[1] / p[0])[at].astype(np.float64)
@@ -226,7 +227,8 @@ class Model:
                 safe = np.where(seen, total, 1)
                 return [np.where(seen, 1 / safe, 0), np.where(seen, d * types / safe, 1)]
 
-            pack = lambda cols: np.ascontiguousarray(np.column_stack(cols).astype(np.float32))
+            # A row of 2 or 4 floats is one item of 8 or 16 bytes, which is gathered at once.
+            pack = lambda cols: np.ascontiguousarray(np.column_stack(cols).astype(np.float32)).view(np.float64 if len(cols) == 2 else np.complex128)[:, 0]
             self.made = {
                 "own": pack([np.maximum(n - d, 0) for n in self.n]),
                 "ctx": pack([c for y in (0, 1) for c in lower(self.total[y], self.types[y])]),
