@@ -2,15 +2,21 @@
 
 Every document's set of word 5-shingles gets ``TREES`` sorted signature orders.  A tree's key is a
 run of signature values: the first ``DEPTH`` must agree (a region), the next decide the order inside
-a region, so that neighbours there share the longest prefixes.  In a region of at most ``SMALL``
-documents all pairs are candidates.  In a larger region the depth adapts: a document meets the
-``NEAR`` following it in the order, those of the longest common prefix, and the region's ``HUBS``, the
-documents that lie in the largest regions over all trees, as the original of a group of copies does.  The orders are one distributed sort, so the largest region is spread over many tasks, and
-what the task boundaries separate is paired in a second, small pass.
-
-Candidates are dropped when set sizes or signatures (``EST`` is four standard errors below 0.75)
-rule a link out.  All others are confirmed on full sets, which are computed again from the texts of
-the documents that have a candidate (found by broadcast up to ``ASKED_BROADCAST`` ids).
+a region, so that neighbours there share the longest prefixes.
+
+First, groups of many copies: in a region of more than ``SMALL`` documents each meets the region's
+hub, the document that lies in the largest regions over all trees, as the original of a group does.
+These links give first components.  Then every tree is walked in order: a document meets the
+``NEAR`` that follow it in its region, so that in a region of up to ``NEAR`` + 1 all pairs meet and in
+a larger one the depth adapts to the longest common prefixes.  Pairs that one first component holds
+already are left out, as no link between them changes the result.  The orders are one distributed
+sort, so the largest region is spread over many tasks; what the task boundaries separate is paired
+in a second, small pass.
+
+Candidates are dropped when set sizes or signatures (``EST`` is four standard errors below 0.75; in
+the walk from ``NIBBLE`` bits a value) rule a link out.  All others are confirmed on full sets, which
+are computed again from the texts of the documents that have a candidate (found by broadcast up to
+``ASKED_BROADCAST`` ids).
 
 At similarity 0.75 a pair shares no region with probability (1 - 0.75**3)**24, about 2e-6.
 
@@ -27,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -36,14 +41,18 @@ from .scratch import Stage, shuffle_width
 
 TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
-SMALL, NEAR, HUBS = 8, 3, 2
+SMALL, NEAR = 8, 16
 EST = 0.55
+NIBBLE = 4
+SKETCH = HASHES * NIBBLE // 8
+ALIKE = HASHES * (EST + (1 - EST) / 2**NIBBLE)  # equal nibbles at that similarity
 ASKED_BROADCAST = 1_000_000
 PERCENT = 75
 
 _rng = np.random.default_rng(75)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EQUAL = np.array([(b < 16) + (b % 16 == 0) for b in range(256)], np.uint8)  # zero nibbles of a byte
 _FP = _rng.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -78,102 +87,107 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _regions(sig: np.ndarray, t: int) -> np.ndarray:
+    region = np.full(len(sig), t + 1, np.uint64)
+    for j in range(DEPTH):
+        region = S.mix(region * np.uint64(31) + sig[:, DEPTH * t + j])
+    return region.view(np.int64)
+
+
+def _signs(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per node and tree: region, node."""
+    for batch in batches:
+        if batch.num_rows:
+            sig = _signs(batch)
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(_regions(sig, t)), batch.column("fp")], ["region", "fp"])
+
+
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per node and tree: region, order inside it, set size, node."""
+    """A row per node and tree: region, order inside it, set size, first component, node, sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+        sig = _signs(batch)
+        low = (sig & np.uint64(15)).astype(np.uint8)
+        sketch = pa.array([r.tobytes() for r in low[:, 0::2] << 4 | low[:, 1::2]], pa.binary())
         for t in range(TREES):
-            region = np.full(len(sig), t + 1, np.uint64)
-            for j in range(DEPTH):
-                region = S.mix(region * np.uint64(31) + sig[:, DEPTH * t + j])
             deep = np.zeros(len(sig), np.uint64)
             for j in range(DEEPER):
                 deep = (deep << np.uint64(16)) | (sig[:, (DEPTH * (t + 1) + j) % HASHES] & np.uint64(0xFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(deep.view(np.int64)), batch.column("n"), batch.column("fp")], ["region", "deep", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(_regions(sig, t)), pa.array(deep.view(np.int64)), batch.column("n"), batch.column("root"), batch.column("fp"), sketch], _ROW)
 
 
-_NODE = np.dtype("S16")
+_ROW = ["region", "deep", "n", "root", "fp", "sketch"]
+_ROW_TYPES = "region long, deep long, n long, root long, fp binary, sketch binary"
 
 
-def _pairs_of(region: np.ndarray, n: np.ndarray, fp: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Candidates among rows sorted by (region, deep)."""
-    out = []
-    if not len(region):
-        return out
-    start = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
-    size = np.diff(np.concatenate([start, [len(region)]]))
-    reach = np.repeat(np.where(size <= SMALL, SMALL, NEAR), size)
-    for s in range(1, min(SMALL, len(region))):
-        at = np.flatnonzero((region[s:] == region[:-s]) & (reach[s:] >= s))
-        a, b = n[at], n[at + s]
-        at = at[np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT]
-        out += [(fp[i], fp[i + s]) for i in at.tolist()]
-    return out
+def _pairs_of(t: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Candidates among rows sorted by (region, deep, fp)."""
+    region, n, root = (t[c].to_numpy() for c in ("region", "n", "root"))
+    fp = t["fp"].combine_chunks()
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    left, right = [], []
+    for s in range(1, min(NEAR + 1, len(region))):
+        near = region[s:] == region[:-s]
+        if not near.any():
+            break
+        at = np.flatnonzero(near & (root[s:] != root[:-s]))
+        x, y = n[at], n[at + s]
+        at = at[np.minimum(x, y) * 100 >= np.maximum(x, y) * PERCENT]
+        at = at[_EQUAL[sketch[at] ^ sketch[at + s]].sum(axis=1, dtype=np.int64) >= ALIKE]
+        left.append(at)
+        right.append(at + s)
+    at, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    return fp.take(pa.array(at)), fp.take(pa.array(to))
 
 
-_FOUND = ["kind", "region", "deep", "n", "a", "b"]
+def _found(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    """Pairs, in the columns of rows."""
+    none = [pa.nulls(len(a), pa.int64())] * 4
+    return pa.RecordBatch.from_arrays([*none, a, pa.nulls(len(a), pa.binary()), b], [*_ROW, "b"])
 
 
-def _found(kind: int, rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], _FOUND)
+def _end(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in t.combine_chunks().to_batches():
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], [*_ROW, "b"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk one task's sorted rows: kind 0 is a pair, 1 a row near the task's ends, 2 a row of a large region.
+    """Walk one task's sorted rows: a row with b is a pair (fp, b), one without is near the task's ends.
 
-    Rows are held until their region ends, a region in slices: after ``SLICE`` rows the last ``NEAR``
-    are kept back, so that memory does not grow with a region.
+    Rows are worked on in slices of ``SLICE``; the last ``NEAR`` of a slice begin the next, so that
+    memory does not grow with a region.
     """
-    SLICE = 65536
-    region, deep, n, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    first, last, carried = True, [], 0
-
-    def emit(upto: int, more: bool):
-        pairs = _pairs_of(region[:upto], n[:upto], fp[:upto])
-        if pairs:
-            yield _found(0, [(None, None, None, a, b) for a, b in pairs])
-        start = np.flatnonzero(np.concatenate([[True], region[1:upto] != region[: upto - 1]]))
-        size = np.diff(np.concatenate([start, [upto]]))
-        big = np.flatnonzero(np.repeat(size > SMALL, size)).tolist()
-        if big:
-            yield _found(2, [(int(region[i]), None, None, fp[i], None) for i in big if i >= carried])
-
-    def rows(lo: int, hi: int) -> list[tuple]:
-        return [(int(region[i]), int(deep[i]), int(n[i]), fp[i], None) for i in range(lo, hi)]
+    SLICE = 16384
+    held, size, first = [], 0, True
+    t = None
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        region = np.concatenate([region, batch.column("region").to_numpy()])
-        deep = np.concatenate([deep, batch.column("deep").to_numpy()])
-        n = np.concatenate([n, batch.column("n").to_numpy()])
-        fp = fp + batch.column("fp").to_pylist()
-        if first and len(region) >= SMALL:
-            yield _found(1, rows(0, SMALL))
-            first = False
-        open_at = int(np.searchsorted(region, region[-1], "left")) if len(region) else 0
-        if len(region) - open_at > SLICE:
-            open_at = len(region) - NEAR
-            yield from emit(len(region), True)
-            carried = NEAR
-        elif open_at:
-            yield from emit(open_at, False)
-            carried = 0
-        else:
-            continue
-        last = (last + rows(max(0, open_at - SMALL), open_at))[-SMALL:]
-        region, deep, n, fp = region[open_at:], deep[open_at:], n[open_at:], fp[open_at:]
-    if len(region):
-        yield from emit(len(region), False)
+    def work() -> Iterator[pa.RecordBatch]:
+        nonlocal first
         if first:
-            yield _found(1, rows(0, min(SMALL, len(region))))
-        last = (last + rows(max(0, len(region) - SMALL), len(region)))[-SMALL:]
-    if last:
-        yield _found(1, last)
+            first = False
+            yield from _end(t.slice(0, NEAR))
+        a, b = _pairs_of(t)
+        if len(a):
+            yield _found(a, b)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= SLICE:
+            t = pa.Table.from_batches(held)
+            yield from work()
+            held = t.slice(len(t) - NEAR).combine_chunks().to_batches()
+            size = NEAR
+    if size:
+        t = pa.Table.from_batches(held)
+        yield from work()
+        yield from _end(t.slice(max(0, len(t) - NEAR)))
 
 
 def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +195,9 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    t = pa.Table.from_batches(held)
-    pairs = _pairs_of(t["region"].to_numpy(), t["n"].to_numpy(), t["a"].to_pylist())
-    if pairs:
-        a, b = zip(*pairs, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    a, b = _pairs_of(pa.Table.from_batches(held))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,33 +243,61 @@ def _ordered_pair(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidate_pairs(nodes: DataFrame, stage: Stage) -> DataFrame:
-    """Distinct candidate pairs (a, b, est) of nodes (fp, n, sig)."""
+def _involved(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
+def hub_pairs(nodes: DataFrame, stage: Stage) -> DataFrame:
+    """Distinct pairs (a, b) of a node and the hub of a large region, of nodes (fp, n, sig)."""
+    members = stage.table(nodes.select("fp", "sig").mapInArrow(_members, "region long, fp binary"), "members")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL)
+    sizes = stage.table(sizes, "sizes")
+    large = stage.table(members.join(sizes, "region"), "large")
+    score = stage.table(large.groupBy("fp").agg(F.sum("size").alias("score")), "score")
+    best = F.max(F.struct("score", F.col("fp").alias("b"))).alias("x")
+    hubs = stage.table(large.join(score, "fp").groupBy("region").agg(best).select("region", "x.b"), "hubs")
+    pairs = stage.table(_ordered_pair(large.join(hubs, "region").select(F.col("fp").alias("a"), "b")).distinct(), "hub-pairs")
+    short = stage.table(nodes.join(_involved(pairs), "fp", "left_semi").select("fp", "sig").mapInArrow(_short, "fp binary, sig binary"), "short")
+    both = pairs.join(short.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
+    both = both.join(short.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
+    est = both.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, est double").where(F.col("est") >= EST)
+    out = stage.table(est.select("a", "b"), "hub-est")
+    stage.drop("members", "sizes", "large", "score", "hubs", "hub-pairs", "short")
+    return out
+
+
+def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
+    """Distinct candidate pairs (a, b) of neighbours in the trees whose first components differ."""
     width = shuffle_width(nodes.sparkSession)
-    rows = nodes.select("n", "fp", "sig").mapInArrow(_plant, "region long, deep long, n long, fp binary")
+    known = nodes.join(roots.select(F.col("u").alias("fp"), F.col("root").alias("r")), "fp", "left")
+    rows = known.select("n", "fp", "sig", F.xxhash64(F.coalesce("r", "fp")).alias("root")).mapInArrow(_plant, _ROW_TYPES)
     rows = stage.table(rows, "trees")
     walked = stage.table(
-        rows.repartitionByRange(width, "region", "deep", "fp").sortWithinPartitions("region", "deep", "fp")
-        .mapInArrow(_walk, "kind int, region long, deep long, n long, a binary, b binary"),
+        rows.repartitionByRange(width, "region", "deep", "fp").sortWithinPartitions("region", "deep", "fp").mapInArrow(_walk, f"{_ROW_TYPES}, b binary"),
         "walk",
     )
-    pairs = walked.where("kind = 0").select("a", "b")
-    ends = walked.where("kind = 1").select("region", "deep", "n", "a").repartition(width, "region").sortWithinPartitions("region", "deep", "a")
+    stage.drop("trees")
+    pairs = walked.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b")
+    ends = walked.where("b IS NULL").select(*_ROW).dropDuplicates(["region", "fp"]).repartition(width, "region").sortWithinPartitions("region", "deep", "fp")
     pairs = pairs.unionByName(ends.mapInArrow(_seams, "a binary, b binary"))
-    large = stage.table(walked.where("kind = 2").select("region", "a").distinct(), "large")
-    sizes = stage.table(large.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    score = stage.table(large.join(sizes, "region").groupBy("a").agg(F.sum("size").alias("score")), "score")
-    rank = F.row_number().over(W.partitionBy("region").orderBy(F.col("score").desc(), "a"))
-    hubs = stage.table(large.join(score, "a").withColumn("r", rank).where(F.col("r") <= HUBS).select("region", F.col("a").alias("b")), "hubs")
-    pairs = pairs.unionByName(large.join(hubs, "region").select("a", "b"))
     pairs = stage.table(_ordered_pair(pairs).distinct(), "pairs")
-    stage.drop("trees", "walk", "large", "sizes", "score", "hubs")
-    involved = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    short = stage.table(nodes.join(involved, "fp", "left_semi").select("fp", "sig").mapInArrow(_short, "fp binary, sig binary"), "short")
-    both = pairs.join(short.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
-    both = both.join(short.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
-    est = both.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, est double").where(F.col("est") >= EST)
-    return stage.table(est, "est")
+    stage.drop("walk")
+    return pairs
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
+    """The pairs whose full sets, computed again from the texts, reach the similarity, as edges (u, v)."""
+    asked = stage.table(nodes.join(_involved(pairs), "fp", "left_semi").select("fp", "rep"), f"{label}-asked")
+    if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
+        asked = F.broadcast(asked)
+    texts = docs.join(asked, docs["id"].eqNullSafe(F.col("rep"))).select("fp", "text")
+    sets = stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), f"{label}-sets")
+    sa = sets.select(F.col("fp").alias("a"), F.col("set").alias("xa"))
+    sb = sets.select(F.col("fp").alias("b"), F.col("set").alias("xb"))
+    full = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
+    links = stage.table(full.mapInArrow(_confirm, "a binary, b binary").select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
+    stage.drop(f"{label}-asked", f"{label}-sets")
+    return links
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,19 +312,11 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         signed.where("fp IS NOT NULL").groupBy("fp", "n").agg(F.min(first).alias("x")).select("fp", "n", F.col("x.id").alias("rep"), F.col("x.sig").alias("sig")),
         "nodes",
     )
-    pairs = candidate_pairs(nodes, stage)
-    involved = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = stage.table(nodes.join(involved, "fp", "left_semi").select("fp", "rep"), "asked")
-    if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
-        asked = F.broadcast(asked)
-    texts = docs.join(asked, docs["id"].eqNullSafe(F.col("rep"))).select("fp", "text")
-    sets = stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), "sets")
-    sa = sets.select(F.col("fp").alias("a"), F.col("set").alias("xa"))
-    sb = sets.select(F.col("fp").alias("b"), F.col("set").alias("xb"))
-
-    full = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
-    links = stage.table(full.mapInArrow(_confirm, "a binary, b binary"), "links")
-    roots = stage.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), stage, "cc"), "roots")
+    hubs = confirmed(hub_pairs(nodes, stage), nodes, docs, stage, "hub")
+    first = stage.table(components(hubs, stage, "first"), "first")
+    links = confirmed(walk_pairs(nodes, first, stage), nodes, docs, stage, "walk")
+    edges = first.select("u", F.col("root").alias("v")).unionByName(links)
+    roots = stage.table(components(edges, stage, "cc"), "roots")
     rooted = stage.table(nodes.select("fp", "rep").join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     least = stage.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     ids = stage.table(rooted.join(least, "root").select("fp", "component_id"), "ids")
