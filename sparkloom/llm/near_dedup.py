@@ -271,12 +271,10 @@ def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     width = shuffle_width(nodes.sparkSession)
     known = nodes.join(roots.select(F.col("u").alias("fp"), F.col("root").alias("r")), "fp", "left")
     rows = known.select("n", "fp", "sig", F.xxhash64(F.coalesce("r", "fp")).alias("root")).mapInArrow(_plant, _ROW_TYPES)
-    rows = stage.table(rows, "trees")
     walked = stage.table(
         rows.repartitionByRange(width, "region", "deep", "fp").sortWithinPartitions("region", "deep", "fp").mapInArrow(_walk, f"{_ROW_TYPES}, b binary"),
         "walk",
     )
-    stage.drop("trees")
     pairs = walked.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b")
     ends = walked.where("b IS NULL").select(*_ROW).dropDuplicates(["region", "fp"]).repartition(width, "region").sortWithinPartitions("region", "deep", "fp")
     pairs = pairs.unionByName(ends.mapInArrow(_seams, "a binary, b binary"))
