@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least id of each group of near-duplicates stays."""
-    kept = Stage(spark, "kept").table(near_components(docs).where("kept").select(F.col("doc_id").alias("kid")).distinct(), "ids")
-    return docs.join(kept, docs["doc_id"] == kept["kid"], "left_semi")
+    found = near_components(docs).groupBy(F.col("doc_id").alias("kid")).agg(F.max(F.col("kept").cast("int")).alias("kept"))
+    gone = Stage(spark, "gone").table(found.where("kept = 0").select("kid"), "ids")
+    return docs.join(gone, docs["doc_id"] == gone["kid"], "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     copies = mix(docs).groupBy(F.col("doc_id").alias("mid")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     copies = Stage(spark, "copies").table(copies, "copies")
-    rows = docs.join(copies, docs["doc_id"] == copies["mid"])
+    rows = docs.join(copies.hint("merge"), docs["doc_id"] == copies["mid"])  # both sides grow alike
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
