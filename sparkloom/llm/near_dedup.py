@@ -13,6 +13,12 @@ already are left out, as no link between them changes the result.  The orders ar
 sort, so the largest region is spread over many tasks; what the task boundaries separate is paired
 in a second, small pass.
 
+Last, the rest: a region of more than ``NEAR`` + 1 documents that still holds more than one component
+is compared in full, every pair of different components, on full sets and without an estimate.  It is
+dealt out in blocks of about ``BLOCK`` documents, and a component that fills blocks of its own is not
+compared with itself.  A task gives no more links than join its components, so that the rows grow
+with the documents, while the comparisons grow with the square of such a region.
+
 Candidates are dropped when set sizes or signatures (``EST`` is four standard errors below 0.75; in
 the walk from ``NIBBLE`` bits a value) rule a link out.  All others are confirmed on full sets, which
 are computed again from the texts of the documents that have a candidate (found by broadcast up to
@@ -42,6 +48,7 @@ from .scratch import Stage, shuffle_width
 TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
 SMALL, NEAR = 8, 16
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 EST = 0.55
 NIBBLE = 4
 SKETCH = HASHES * NIBBLE // 8
@@ -239,6 +246,36 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _linked(t: pa.Table) -> pa.Table:
+    """Links that join the components of two blocks, of all pairs whose full sets reach the similarity."""
+    sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+    n = np.array([len(s) for s in sets])
+    root, side = t["root"].to_numpy(), t["side"].to_numpy()
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    off = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(len(values), np.int32)
+    comp = np.unique(root, return_inverse=True)[1]
+    one = side[0] == side[-1] and not (side != side[0]).any()
+    left, right = [], []
+    for i in range(len(sets)) if one else np.flatnonzero(side == 0).tolist():
+        apart = comp != comp[i]
+        apart &= (np.arange(len(sets)) > i) if one else side == 1
+        apart &= np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT
+        if not apart.any():
+            continue
+        own = ids[off[i] : off[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids], off[:-1])
+        mark[own] = 0
+        for j in np.flatnonzero(apart & (100 * both >= PERCENT * (n + n[i] - both))).tolist():
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                left.append(i)
+                right.append(j)
+    fp = t["fp"].combine_chunks()
+    return pa.table([fp.take(pa.array(x, pa.int64())) for x in (left, right)], ["u", "v"])
+
+
 def _ordered_pair(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -247,8 +284,8 @@ def _involved(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
 
-def hub_pairs(nodes: DataFrame, stage: Stage) -> DataFrame:
-    """Distinct pairs (a, b) of a node and the hub of a large region, of nodes (fp, n, sig)."""
+def hub_pairs(nodes: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of a node and the hub of a large region, of nodes (fp, n, sig); the large regions' nodes."""
     members = stage.table(nodes.select("fp", "sig").mapInArrow(_members, "region long, fp binary"), "members")
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL)
     sizes = stage.table(sizes, "sizes")
@@ -262,8 +299,8 @@ def hub_pairs(nodes: DataFrame, stage: Stage) -> DataFrame:
     both = both.join(short.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
     est = both.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, est double").where(F.col("est") >= EST)
     out = stage.table(est.select("a", "b"), "hub-est")
-    stage.drop("members", "sizes", "large", "score", "hubs", "hub-pairs", "short")
-    return out
+    stage.drop("members", "sizes", "score", "hubs", "hub-pairs", "short")
+    return out, large
 
 
 def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
@@ -283,13 +320,18 @@ def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     return pairs
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
-    """The pairs whose full sets, computed again from the texts, reach the similarity, as edges (u, v)."""
-    asked = stage.table(nodes.join(_involved(pairs), "fp", "left_semi").select("fp", "rep"), f"{label}-asked")
+def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
+    """(fp, set) of the asked-for nodes, computed again from the texts."""
+    asked = stage.table(nodes.join(asked, "fp", "left_semi").select("fp", "rep"), f"{label}-asked")
     if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
         asked = F.broadcast(asked)
     texts = docs.join(asked, docs["id"].eqNullSafe(F.col("rep"))).select("fp", "text")
-    sets = stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), f"{label}-sets")
+    return stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), f"{label}-sets")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
+    """The pairs whose full sets, computed again from the texts, reach the similarity, as edges (u, v)."""
+    sets = full_sets(_involved(pairs), nodes, docs, stage, label)
     sa = sets.select(F.col("fp").alias("a"), F.col("set").alias("xa"))
     sb = sets.select(F.col("fp").alias("b"), F.col("set").alias("xb"))
     full = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
@@ -298,6 +340,30 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage,
     return links
 
 
+def rest_links(large: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    """Links (u, v) between components that one large region holds, of all pairs there."""
+    known = large.where(F.col("size") > NEAR + 1).select("region", "fp").join(roots.select(F.col("u").alias("fp"), F.col("root").alias("r")), "fp", "left")
+    rows = stage.table(known.join(nodes.select("fp", "n"), "fp").select("region", "fp", "n", F.xxhash64(F.coalesce("r", "fp")).alias("root")), "placed")
+    some = rows.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("region")
+    rows = stage.table(rows.join(some, "region"), "apart")
+    blocks = lambda m, n: F.ceil(F.greatest(F.col(m) / BLOCK, F.col(n) / BLOCK_SHINGLES))
+    of = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("k", blocks("m", "s"))
+    of = stage.table(of, "of-root")
+    few = of.where("k = 1").groupBy("region").agg(F.sum("m").alias("ms"), F.sum("s").alias("ss")).select("region", blocks("ms", "ss").alias("ks"))
+    dealt = rows.join(of.select("region", "root", "k"), ["region", "root"]).join(few, "region", "left")
+    own = F.when(F.col("k") > 1, F.col("root"))  # the one component of a block, or null where many share it
+    block = F.when(F.col("k") > 1, F.xxhash64("root", F.pmod(F.xxhash64("fp"), "k"))).otherwise(F.pmod(F.xxhash64("root"), "ks"))
+    dealt = stage.table(dealt.select("region", "fp", "root", own.alias("own"), block.alias("block")), "dealt")
+    b = dealt.select("region", "block", "own").distinct()
+    c = b.select("region", F.col("block").alias("other"), F.col("own").alias("others"))
+    met = b.join(c, "region").where("block <= other AND (own IS NULL OR others IS NULL OR own <> others)")
+    meets = stage.table(met.select("region", "block", "other", F.xxhash64("region", "block", "other").alias("meet")), "meets")
+    sides = meets.select("region", "block", "meet", F.lit(0).alias("side")).unionByName(meets.where("block <> other").select("region", F.col("other").alias("block"), "meet", F.lit(1).alias("side")))
+    sets = full_sets(dealt.select("fp").distinct(), nodes, docs, stage, "rest")
+    dealt = dealt.join(sides, ["region", "block"]).join(sets, "fp").select("meet", "side", "root", "fp", "set")
+    return stage.table(dealt.groupBy("meet").applyInArrow(_linked, "u binary, v binary"), "rest-links")
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     spark = df.sparkSession
@@ -310,11 +376,16 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         signed.where("fp IS NOT NULL").groupBy("fp", "n").agg(F.min(first).alias("x")).select("fp", "n", F.col("x.id").alias("rep"), F.col("x.sig").alias("sig")),
         "nodes",
     )
-    hubs = confirmed(hub_pairs(nodes, stage), nodes, docs, stage, "hub")
+    hubs, large = hub_pairs(nodes, stage)
+    hubs = confirmed(hubs, nodes, docs, stage, "hub")
     first = stage.table(components(hubs, stage, "first"), "first")
     links = confirmed(walk_pairs(nodes, first, stage), nodes, docs, stage, "walk")
     edges = first.select("u", F.col("root").alias("v")).unionByName(links)
     roots = stage.table(components(edges, stage, "cc"), "roots")
+    rest = rest_links(large, roots, nodes, docs, stage)
+    if not rest.isEmpty():
+        edges = roots.select("u", F.col("root").alias("v")).unionByName(rest)
+        roots = stage.table(components(edges, stage, "rest"), "all-roots")
     rooted = stage.table(nodes.select("fp", "rep").join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     least = stage.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     ids = stage.table(rooted.join(least, "root").select("fp", "component_id"), "ids")

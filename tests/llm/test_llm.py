@@ -130,6 +130,40 @@ def test_near_components(spark):
         assert got[(i, len(s))] == (min(group) if group else None)
 
 
+def test_near_components_of_large_regions(spark):
+    """Texts that drift from one passage: regions of hundreds, where a text's only link may be to any of them."""
+    import numpy as np
+
+    r, base = random.Random(11), prose(200, 21).split()
+    texts = []
+    for k in range(800):
+        w = list(base)
+        for at in r.sample(range(200), 5):
+            w[at] = f"own{r.randrange(10**6)}"
+        texts.append(w)
+        if k % 8 == 0:  # a near copy, about at the similarity that links
+            w = list(w)
+            for at in r.sample(range(200), 6):
+                w[at] = f"new{r.randrange(10**6)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    ids = {s: i for i, s in enumerate({x for s in sets for x in s})}
+    m = np.zeros((len(sets), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [ids[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    link = 100 * both >= 75 * (n[:, None] + n - both)
+    want = np.arange(len(sets))
+    while True:
+        least = np.where(link, want[None, :], len(sets)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    assert 50 < len(set(want.tolist())) < len(sets)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs(spark, [(i, " ".join(w), "a") for i, w in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(sets))] == want.tolist()
+
+
 def test_decontam(spark):
     item = prose(30, 77)
     cut = item[:100] + "X" + item[103:]
