@@ -7,10 +7,11 @@ then three tests of uniform independent symbols are made: chi-squared over ``CEL
 of the alphabet, runs above and below its middle, and lag-1 serial correlation.
 
 False discovery: here a discovery is a run declared a secret, so the null is written language.
-Its error weight is 2 to the minus ``BITS_PER_CHAR`` times length: the share of that many language
-characters that would pass the battery, which falls with length.  Benjamini-Hochberg at level ``Q``
-over the runs of a document admits the k smallest weights with weight <= Q * rank / runs.  A run is
-reported if admitted and if Bonferroni's combination of its three p-values is at least ``ALPHA``.
+Bonferroni's combination x of a run's three p-values is uniform for a random run; for language it
+gathers near 0, the more so the longer the run, and is taken as distributed like x ** a with a = 2 to
+the minus ``BITS_PER_CHAR`` times length.  A run's p-value under the null is therefore 1 - x ** a, and
+1 where x is below ``ALPHA``.  Benjamini-Hochberg at level ``Q`` over all runs of a document reports
+the k smallest with p <= Q * rank / runs: a short run with middling x stands alone but falls among many.
 
 Rows: null text counts as empty; repeated rows are searched each for itself; an empty table gives an
 empty result.  Only the id and text columns are read; one narrow projection without a shuffle.
@@ -146,17 +147,23 @@ def randomness_p(token: Column) -> Column:
     return let(enc, lambda e: F.when(e.isNull(), 0.0).otherwise(let(F.struct(_ranks(token, e).alias("r"), _size_of(e).alias("n")), on)))
 
 
+def language_p(token: Column) -> Column:
+    """p-value of a run under written language: small if it is long and the battery finds it random."""
+    share = F.pow(F.lit(2.0), F.length(token) * F.lit(-BITS_PER_CHAR))
+    return let(randomness_p(token), lambda x: F.when(x >= ALPHA, -F.expm1(share * F.log(x))).otherwise(1.0))
+
+
 def _discovered(tokens: Column) -> Column:
-    """Benjamini-Hochberg over a document's runs, longest first, then the battery."""
-    by_length = F.array_sort(F.transform(tokens, lambda x: F.struct((-F.length(x["m"])).alias("l"), x["s"].alias("s"))))
-    admitted = let(
-        by_length,
-        lambda o: F.aggregate(
-            F.transform(o, lambda y, i: F.when(F.pow(F.lit(2.0), y["l"] * F.lit(BITS_PER_CHAR)) <= F.lit(Q) * (i + 1) / F.size(o), -y["l"]).otherwise(1 << 30)),
-            F.lit(1 << 30), lambda a, v: F.least(a, v),
-        ),
-    )
-    return let(admitted, lambda least: F.filter(tokens, lambda x: F.when(F.length(x["m"]) >= least, randomness_p(x["m"]) >= ALPHA).otherwise(False)))
+    """Benjamini-Hochberg over a document's runs."""
+
+    def on(p: Column) -> Column:
+        admitted = F.aggregate(
+            F.transform(F.array_sort(p), lambda w, i: F.when(w <= F.lit(Q) * (i + 1) / F.size(p), w).otherwise(-1.0)),
+            F.lit(-1.0), lambda a, v: F.greatest(a, v),
+        )
+        return let(admitted, lambda most: F.filter(tokens, lambda x, i: F.get(p, i) <= most))
+
+    return let(F.transform(tokens, lambda x: language_p(x["m"])), on)
 
 
 def secret_spans(text: Column) -> Column:

@@ -79,6 +79,17 @@ def test_secrets(spark):
     assert "random" in got[5]["spans"] and "random" not in got[6]["spans"]
 
 
+def test_secrets_among_many(spark):
+    """A short token that stands alone is refused among many runs; a long one is not."""
+    r = random.Random(4)
+    short, long = "".join(r.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=21)), "".join(r.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=60))
+    many = " ".join(f"{a}{b}{c}{a}InternalConfiguration" for a in ("alpha", "beta", "gamma", "delta", "kappa") for b in ("Message", "Account", "Reader") for c in ("Handler", "Manager", "Listener", "Adapter"))
+    rows = [(1, short, "a"), (2, long, "a"), (3, f"{short} {many}", "a"), (4, f"{long} {many}", "a")]
+    got = {x["doc_id"]: [s["m"] for s in x["spans"]] for x in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert got[1] == [short] and got[2] == [long]
+    assert short not in got[3] and long in got[4]
+
+
 def test_mixing(spark):
     rows = [(i, prose(5 + i % 37, i), f"s{i % 4}") for i in range(600)] + EDGE[:5]
     df = docs(spark, rows)
