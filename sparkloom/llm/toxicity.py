@@ -14,8 +14,9 @@ Which labelled rows teach what, by crc32 of the id modulo 4: 0 and 1 the class c
 of which at most ``CURVE_ROWS`` rows are taken, those with the smallest hash; 2 is held out.  Ids are
 used for this choice only; labels, language, source and id never enter a score.
 
-Sizes: counts live in hashed tables of 2**``BITS`` cells whatever the data, which bounds both what
-reaches the driver and the broadcast (a few tens of MB); two sequences in one cell add their counts.
+Sizes: counts live in tables that hold every sequence under its own key, so that no two share a
+count and an unseen one is known as unseen.  They grow with the distinct sequences, to the driver and
+in the broadcast: 12 to 24 bytes a cell at two to four cells a sequence.
 Labels are joined by broadcast up to ``LABELS_BROADCAST`` rows and by shuffle beyond.
 
 Rows: null and empty texts get the curve's score at no evidence; repeated rows score alike; an id
@@ -36,7 +37,6 @@ from . import shingles as S
 from .scratch import Stage
 
 ORDER, SHARED = 6, 4
-BITS = 20
 DISCOUNT = 0.75
 TOP = 0.01
 CURVE_ROWS = 20_000
@@ -44,13 +44,26 @@ PIECE = 1 << 18  # bytes of text worked on at once, which bounds a worker's memo
 LABELS_BROADCAST = 4_000_000
 THRESHOLD = 0.3
 
-_rng = np.random.default_rng(6)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _mask(n: int) -> int:
+    return (1 << (8 * n)) - 1
+
+
+def _rows(cols: list[np.ndarray]) -> np.ndarray:
+    """Rows of 2 or 4 floats as items of 8 or 16 bytes, which are gathered at once."""
+    return np.ascontiguousarray(np.column_stack(cols).astype(np.float32)).view(np.float64 if len(cols) == 2 else np.complex128)[:, 0]
+
+
+def _lower(total: np.ndarray, types: np.ndarray) -> list[np.ndarray]:
+    """What a context multiplies its own counts and the lower order by."""
+    seen = total > 0
+    safe = np.where(seen, total, 1)
+    return [np.where(seen, 1 / safe, 0), np.where(seen, DISCOUNT * types / safe, 1)]
+
+
 def _padded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lowered bytes with ORDER - 1 blanks before each text, the places of real bytes, and their text."""
     lens = np.diff(np.concatenate([[0], ends]))
@@ -61,34 +74,6 @@ def _padded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, at, text
 
 
-def _grams(b: np.ndarray) -> list[np.ndarray]:
-    """hashes[k][i]: of the k + 1 bytes that end at i (short at the start, which is padding)."""
-    one = _BYTE[b]
-    out = [one]
-    for k in range(1, ORDER):
-        h = one.copy()
-        h[1:] += (out[-1][:-1] + np.uint64(k)) * _STEP
-        out.append(h)
-    return out
-
-
-def _hash(cols: list[np.ndarray]) -> np.ndarray:
-    """The hash of ``_grams`` for sequences given as byte columns, first byte first."""
-    h = _BYTE[cols[0]]
-    for k, c in enumerate(cols[1:], 1):
-        h = (h + np.uint64(k)) * _STEP + _BYTE[c]
-    return h
-
-
-def _cell(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).view(np.int64)
-
-
-def _after(c: np.ndarray) -> np.ndarray:
-    """The cell before each place."""
-    return np.concatenate([c[:1], c[:-1]])
-
-
 def _packed(b: np.ndarray, n: int) -> np.ndarray:
     """The n bytes that end at each place as one integer (n at most 7)."""
     wide = b.astype(np.int64)
@@ -98,8 +83,39 @@ def _packed(b: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _columns(keys: np.ndarray, n: int) -> list[np.ndarray]:
-    return [((keys >> (8 * k)) & 255) for k in range(n - 1, -1, -1)]
+def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (S.mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _table(keys: np.ndarray, values: np.ndarray, default) -> tuple[int, np.ndarray, np.ndarray]:
+    """Distinct keys with their values, each in the first free cell from its home on; the last cell is the default's."""
+    bits = max(4, (2 * len(keys)).bit_length())
+    home = _home(keys, bits)
+    order = np.argsort(home, kind="stable")
+    i = np.arange(len(keys))
+    cell = np.maximum.accumulate(home[order] - i) + i
+    size = max(1 << bits, int(cell[-1]) + 1 if len(cell) else 0) + 2
+    k, v = np.full(size, -1, np.int64), np.full(size, default, values.dtype)
+    k[cell], v[cell] = keys[order], values[order]
+    return bits, k, v
+
+
+def _find(table: tuple[int, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The keys' values, or the default."""
+    bits, k, v = table
+    at = _home(keys, bits)
+    have = k.take(at)
+    left = np.flatnonzero(have != keys)
+    have = have[left]
+    while len(left):
+        none = have < 0
+        at[left[none]] = len(k) - 1
+        left = left[~none]
+        at[left] += 1
+        have = k.take(at[left])
+        other = have != keys[left]
+        left, have = left[other], have[other]
+    return v.take(at)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,17 +144,7 @@ def _count_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = [_merged(held)]
     if held:
         keys, n = _merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["seq", "n"])
-
-
-def _class_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted sequences with their class, context's cell and own cell."""
-    for batch in batches:
-        keys = batch.column("seq").to_numpy()
-        cols = _columns(keys, ORDER)
-        toxic = (keys >> (8 * ORDER)).astype(np.int32)
-        cells = [pa.array(_cell(_hash(c)).astype(np.int32)) for c in (cols[:-1], cols)]
-        yield pa.RecordBatch.from_arrays([pa.array(toxic), *cells, batch.column("n")], ["toxic", "ctx", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
 
 def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,22 +162,10 @@ def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["seq"])
 
 
-def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of the sequences' last SHARED bytes and of their context, and the last byte."""
-    for batch in batches:
-        cols = _columns(batch.column("seq").to_numpy(), SHARED + 1)[1:]
-        cells = [_cell(_hash(c)).astype(np.int32) for c in (cols, cols[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cells, cols[-1].astype(np.int32))], ["cell", "ctx", "last"])
-
-
 class Model:
-    """The tables: per class counts, context totals and context types; shared likewise; single bytes."""
+    """Keyed tables from which a place's probabilities are one product and sum each, and the curve."""
 
     def __init__(self):
-        n = 1 << BITS
-        z = lambda: np.zeros(n, np.float32)
-        self.n, self.total, self.types = [z(), z()], [z(), z()], [z(), z()]
-        self.s_n, self.s_total, self.s_types, self.byte = z(), z(), z(), np.zeros(256, np.float64)
         self.curve = self.made = None
 
     @classmethod
@@ -186,17 +180,16 @@ class Model:
         out = np.zeros((len(ends), 3))
         if not len(data):
             return out
-        t = self.ready()
+        t = self.made
         b, at, text = _padded(data, ends)
-        g = _grams(b)
-        rows = lambda name, cells: t[name].take(cells).view(np.float32).reshape(len(b), -1)
-        share = rows("shared_ctx", _after(_cell(g[SHARED - 2])))
-        low = t["shared"].take(_cell(g[SHARED - 1])) * share[:, 0] + share[:, 1] * t["one"].take(b)
-        ctx = rows("ctx", _after(_cell(g[ORDER - 2])))
-        own = rows("own", _cell(g[ORDER - 1]))
-        del g
+        seq = _packed(b, ORDER)[at]
+        rows = lambda name, keys: _find(t[name], keys).view(np.float32).reshape(len(at), -1)
+        share = rows("shared_ctx", (seq >> 8) & _mask(SHARED - 1))
+        low = _find(t["shared"], seq & _mask(SHARED)) * share[:, 0] + share[:, 1] * t["one"].take(b[at])
+        ctx = rows("ctx", seq >> 8)
+        own = rows("own", seq)
         p = [own[:, y] * ctx[:, 2 * y] + ctx[:, 2 * y + 1] * low + np.float32(1e-12) for y in (0, 1)]
-        diff = np.log(p[1] / p[0])[at].astype(np.float64)
+        diff = np.log(p[1] / p[0]).astype(np.float64)
         lens = np.diff(np.concatenate([[0], ends]))
         out[:, 0] = np.bincount(text, diff, len(ends)) / np.maximum(lens, 1)
         blank = S._SPACE[data]
@@ -217,27 +210,6 @@ class Model:
                 out[i, 2] = np.log(k)
         return out
 
-    def ready(self) -> dict[str, np.ndarray]:
-        """Tables from which a place's probabilities are one product and sum each."""
-        if self.made is None:
-            d = DISCOUNT
-
-            def lower(total: np.ndarray, types: np.ndarray) -> list[np.ndarray]:
-                seen = total > 0
-                safe = np.where(seen, total, 1)
-                return [np.where(seen, 1 / safe, 0), np.where(seen, d * types / safe, 1)]
-
-            # A row of 2 or 4 floats is one item of 8 or 16 bytes, which is gathered at once.
-            pack = lambda cols: np.ascontiguousarray(np.column_stack(cols).astype(np.float32)).view(np.float64 if len(cols) == 2 else np.complex128)[:, 0]
-            self.made = {
-                "own": pack([np.maximum(n - d, 0) for n in self.n]),
-                "ctx": pack([c for y in (0, 1) for c in lower(self.total[y], self.types[y])]),
-                "shared": np.maximum(self.s_n - d, 0).astype(np.float32),
-                "shared_ctx": pack(lower(self.s_total, self.s_types)),
-                "one": ((self.byte + 1) / (self.byte.sum() + 256)).astype(np.float32),
-            }
-        return self.made
-
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(x))
@@ -289,7 +261,7 @@ def fold_of(id_col):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit the model; what comes to the driver is bounded by the tables' sizes."""
+    """Fit the model; what comes to the driver grows with the distinct sequences."""
     spark = docs.sparkSession
     stage = Stage(spark, "toxicity")
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
@@ -299,23 +271,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, F.col("id") == F.col("lid"))
     model = Model()
 
-    def fill(df: DataFrame, where: str, targets: list[np.ndarray]) -> None:
-        for part in df.select(where, *[c for c in df.columns if c != where]).toArrow().to_batches():
-            at = part.column(0).to_numpy()
-            for i, t in enumerate(targets):
-                t[at] = part.column(i + 1).to_numpy()
-
-    counts = known.where("fold IN (0, 1)").select("text", "toxic").mapInArrow(_count_class, "seq long, n long").groupBy("seq").agg(F.sum("n").alias("n"))
-    counts = stage.table(counts.mapInArrow(_class_cells, "toxic int, ctx int, cell int, n long"), "counts")
-    for y in (0, 1):
-        one = counts.where(F.col("toxic") == y)
-        fill(one.groupBy("cell").agg(F.sum("n").alias("n")), "cell", [model.n[y]])
-        fill(one.groupBy("ctx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), "ctx", [model.total[y], model.types[y]])
-    seqs = docs.select(F.col(text_col).alias("text")).mapInArrow(_shared_seqs, "seq long").distinct().mapInArrow(_shared_cells, "cell int, ctx int, last int")
-    cells = stage.table(seqs.groupBy("cell", "ctx", "last").agg(F.count(F.lit(1)).alias("n")), "cells")
-    fill(cells.groupBy("cell").agg(F.sum("n").alias("n")), "cell", [model.s_n])
-    fill(cells.groupBy("ctx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), "ctx", [model.s_total, model.s_types])
-    fill(cells.groupBy("last").agg(F.count(F.lit(1)).alias("n")), "last", [model.byte])
+    def got(df: DataFrame) -> list[np.ndarray]:
+        t = df.toArrow()
+        return [t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in t.column_names]
+
+    def of(y: int, value):
+        return F.sum(F.when(F.shiftright("key", 8 * ORDER) == y, value).otherwise(0))
+
+    low = lambda c, n: F.col(c).bitwiseAND(F.lit(_mask(n)))
+    counts = known.where("fold IN (0, 1)").select("text", "toxic").mapInArrow(_count_class, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = stage.table(counts.withColumn("seq", low("key", ORDER)), "counts")
+    keys, *n = got(counts.groupBy("seq").agg(of(0, F.col("n")).alias("a"), of(1, F.col("n")).alias("b")))
+    own = _table(keys, _rows([np.maximum(x - DISCOUNT, 0) for x in n]), 0)
+    one = F.lit(1)
+    keys, *n = got(counts.groupBy(F.shiftright("seq", 8).alias("ctx")).agg(of(0, F.col("n")).alias("a"), of(0, one).alias("b"), of(1, F.col("n")).alias("c"), of(1, one).alias("d")))
+    ctx = _table(keys, _rows([*_lower(*n[:2]), *_lower(*n[2:])]), _rows([np.array([x]) for x in (0, 1, 0, 1)])[0])
+    seqs = docs.select(F.col(text_col).alias("text")).mapInArrow(_shared_seqs, "seq long").distinct()
+    cells = stage.table(seqs.groupBy(low("seq", SHARED).alias("seq")).agg(F.count(one).alias("n")), "cells")
+    keys, n = got(cells)
+    shared = _table(keys, np.maximum(n - DISCOUNT, 0).astype(np.float32), 0)
+    keys, *n = got(cells.groupBy(F.shiftright("seq", 8).alias("ctx")).agg(F.sum("n").alias("n"), F.count(one).alias("t")))
+    shared_ctx = _table(keys, _rows(_lower(*n)), _rows([np.array([x]) for x in (0, 1)])[0])
+    byte = np.zeros(256)
+    keys, n = got(cells.groupBy(low("seq", 1).alias("last")).agg(F.count(one).alias("n")))
+    byte[keys] = n
+    model.made = {"own": own, "ctx": ctx, "shared": shared, "shared_ctx": shared_ctx, "one": ((byte + 1) / (byte.sum() + 256)).astype(np.float32)}
     stage.drop("cells", "counts")
     rows = known.where("fold = 3")
     # The bound on the curve's sample: the rows whose ids have the smallest hashes.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,43 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
     got = [x for x in toxicity.toxicity(docs(spark, rows + [(900, None, "a"), (901, "", "a")]), labels).collect() if x["held_out"] and x["doc_id"] < 400]
     assert len(got) > 60 and sum(x["predicted"] == int(x["doc_id"] % 5 == 0) for x in got) >= 0.95 * len(got)
+
+
+def test_toxicity_counts_every_sequence(spark):
+    """The evidence of exact counts, on more distinct sequences than a small table has cells."""
+    from collections import Counter
+
+    import numpy as np
+
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "".join(r.choices(letters, k=4000)) + (" vile " * 3 if i % 5 == 0 else " mild "), "a") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, rows), labels)
+    six, fives = [Counter(), Counter()], set()
+    for i, t, _ in rows:
+        t = " " * 5 + t
+        fives.update(t[k - 4 : k + 1] for k in range(5, len(t)))
+        if zlib.crc32(str(i).encode()) % 4 < 2:
+            six[i % 5 == 0].update(t[k - 5 : k + 1] for k in range(5, len(t)))
+    assert sum(map(len, six)) > 1 << 20
+    four = Counter(s[1:] for s in fives)
+    ctx = [[Counter(), Counter()] for _ in range(3)]
+    for c, (total, types) in zip((*six, four), ctx, strict=True):
+        for s, n in c.items():
+            total[s[:-1]] += n
+            types[s[:-1]] += 1
+    last = Counter(s[-1] for s in four)
+
+    def p(c, k, s, low):
+        total, types = ctx[k][0][s[:-1]], ctx[k][1][s[:-1]]
+        return (max(c[s] - 0.75, 0) + 0.75 * types * low) / total if total else low
+
+    for text in (rows[5][1][-300:], "unseen words, vile ones", "".join(r.choices(letters, k=300))):
+        t, want = " " * 5 + text, 0.0
+        for k in range(5, len(t)):
+            low = p(four, 2, t[k - 3 : k + 1], (last[t[k]] + 1) / (sum(last.values()) + 256))
+            a, b = (p(c, y, t[k - 5 : k + 1], low) for y, c in enumerate(six))
+            want += float(np.log((b + 1e-12) / (a + 1e-12)))
+        got = model.evidence(np.frombuffer(text.encode(), np.uint8), np.array([len(text)]))[0, 0]
+        assert abs(got - want / len(text)) < 1e-3
