@@ -3,8 +3,9 @@
 A call is linked to the result of the same (conversation, identifier) by a hash join; with repeated
 identifiers the earliest call meets the earliest result and further ones are ``extra``.  Calls name
 the calls they depend on.  Their topological level is the longest chain of dependencies before them,
-found by rounds of a join until nothing rises; calls on a cycle, or after one, get level -1 once the
-rounds reach ``MOST_LEVELS`` calls deep.  Arguments are checked against their tool's schema: required
+of any length; calls on a cycle, or after one, get level -1.  Chains of calls with one dependency each
+are followed by pointer doubling, in rounds that grow with the log of their length; calls with
+several are peeled, one round for each such call on a path.  Arguments are checked against their tool's schema: required
 keys, types, and no unknown keys.  Canonical JSON has sorted keys, no blanks and UTF-8 text.
 
 Rows: a null identifier links with nothing; null or malformed arguments are invalid; repeated rows
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .scratch import Stage
 
-MOST_LEVELS = 64
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
@@ -89,18 +89,48 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     nodes = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.lit(0).alias("level"))
     edges = stage.table(calls.select("conv_id", "call_id", F.explode("depends_on").alias("before")).where("before IS NOT NULL").distinct(), "edges")
     edges = stage.table(edges.join(nodes.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi"), "known")
-    front, k, levels = edges.select("conv_id", "call_id").distinct(), 0, None
-    while k < MOST_LEVELS and not front.isEmpty():
+    level = F.coalesce("level", F.lit(0))
+    return base.join(levels_of(edges, stage), ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("name").isNotNull(), level))
+
+
+def levels_of(edges: DataFrame, stage: Stage) -> DataFrame:
+    """(conv_id, call_id, level) of the calls that depend on others, of distinct edges (conv_id, call_id, before)."""
+    node = ["conv_id", "call_id"]
+    counted = edges.where("call_id IS NOT NULL").groupBy(*node).agg(F.count(F.lit(1)).alias("m"), F.min("before").alias("to"))
+    counted = stage.table(counted, "counted")
+    # Calls with one dependency: the first call up their chain that has none or several, and its distance.
+    jumps = stage.table(counted.where("m = 1").select(*node, "to", F.lit(1).cast("long").alias("d"), F.lit(True).alias("moving")), "jumps")
+    most, k, moving = jumps.count(), 0, True
+    while moving and 2**k < 4 * most:  # after that only calls on a cycle, or after one, still move
         k += 1
-        front = stage.table(front, f"front{k}")
-        step = front.withColumn("level", F.lit(k))
-        levels = step if levels is None else levels.unionByName(step)
-        front = edges.join(front.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
-    if levels is None:
-        return base.withColumn("level", F.when(F.col("name").isNotNull(), 0))
-    top = levels.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"))
-    level = F.when(F.col("level") >= MOST_LEVELS, -1).otherwise(F.coalesce("level", F.lit(0)))
-    return base.join(top, ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("name").isNotNull(), level))
+        on = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        jumps = jumps.join(on, ["conv_id", "to"], "left").select(*node, F.coalesce("to2", "to").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("to2").isNotNull().alias("moving"))
+        jumps = stage.table(jumps, f"jumps{k}")
+        moving = not jumps.where("moving").isEmpty()
+    # Calls with several: the same for each dependency; base is the level that it asks for, once known.
+    several = counted.where("m > 1").select(*node)
+    up = jumps.select("conv_id", F.col("call_id").alias("before"), "to", "d", "moving")
+    held = edges.join(several, node, "left_semi").join(up, ["conv_id", "before"], "left")
+    held = held.select(*node, F.coalesce("to", "before").alias("to"), (F.coalesce("d", F.lit(0)) + 1).alias("d"), F.coalesce("moving", F.lit(False)).alias("moving"))
+    waits = several.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("waits"))
+    held = held.join(waits, ["conv_id", "to"], "left").select(*node, "to", "d", F.when(~F.col("moving") & F.col("waits").isNull(), F.col("d")).alias("base"))
+    held, k, ready = stage.table(held, "held"), 0, []
+    while True:
+        done = held.groupBy(*node).agg(F.max("base").alias("level"), F.min(F.col("base").isNotNull()).alias("all")).where("all").select(*node, "level")
+        done = stage.table(done, f"ready{k}")
+        ready.append(stage.paths[f"ready{k}"])
+        if done.isEmpty():
+            break
+        up = done.select("conv_id", F.col("call_id").alias("to"), "level")
+        rest = held.join(done.select(*node), node, "left_anti").join(up, ["conv_id", "to"], "left")
+        k += 1
+        held = stage.table(rest.select(*node, "to", "d", F.coalesce("base", F.col("level") + F.col("d")).alias("base")), f"held{k}")
+    known = edges.sparkSession.read.schema(done.schema).parquet(*ready)
+    joints = stage.table(several.join(known, node, "left").select(*node, F.coalesce("level", F.lit(-1)).alias("level")), "joints")
+    up = joints.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("at"))
+    level = F.when(F.col("moving") | (F.col("at") < 0), -1).otherwise(F.col("d") + F.coalesce("at", F.lit(0)))
+    chains = jumps.join(up, ["conv_id", "to"], "left").select(*node, level.alias("level"))
+    return chains.unionByName(joints).withColumn("level", F.col("level").cast("int"))
 
 
 #: The schema of the calls that the conversations table is read as.
@@ -109,15 +139,15 @@ REPLY = {"reply": {"required": ["prompt", "turn"], "properties": {"prompt": {"ty
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A conversations table as calls and results: a user turn calls for the reply in the next turn,
-    and depends on the call that opens its conversation."""
+    and depends on the user turn before it, if that or its reply is the turn before.  Turns of other
+    roles are neither call nor result."""
     t = turns.select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     users, replies = t.where("role = 'user'"), t.where("role = 'assistant'")
-    # Read again, so that the join with a conversation of any size can be split.
-    opens = Stage(turns.sparkSession, "opens").table(users.groupBy("conv_id").agg(F.min("turn").alias("open")), "opens")
-    calls = users.join(opens, "conv_id").select(
+    after = lambda n: users.select("conv_id", (F.col("turn") + n).alias("turn"), name(F.col("turn")).alias(f"call{n}")).distinct()
+    calls = users.join(after(1), ["conv_id", "turn"], "left").join(after(2), ["conv_id", "turn"], "left").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.when(F.col("turn") > F.col("open"), F.array(name(F.col("open")))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.array_compact(F.array(F.coalesce("call1", "call2"))).alias("depends_on"),
     )
     return calls, replies.select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))

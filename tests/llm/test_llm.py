@@ -220,6 +220,21 @@ def test_tool_calls(spark):
     assert got["a", 1]["json"] == '{"arguments":{"prompt":"x","turn":1},"call":"a","conversation":1,"name":"reply","result":"r"}'
 
 
+def test_tool_calls_deep(spark):
+    """Chains deeper than any cap, calls with several dependencies, cycles and what follows them."""
+    deps = {f"n{i}": [f"n{i - 1}"] if i else [] for i in range(150)}
+    deps |= {"x": ["n149", "n3"], "y": ["x"], "z": ["y", "x", "n0"], "self": ["self"], "p": ["q", "n1"], "q": ["p"], "after": ["q", "n2"], "far": ["after"], "free": []}
+    rows = [(1, c, k, "reply", None, d) for k, (c, d) in enumerate(deps.items())]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r["call_id"]: r["level"] for r in toolcalls.link_calls(calls, results, {}).collect()}
+    want = {f"n{i}": i for i in range(150)} | {"x": 150, "y": 151, "z": 152, "self": -1, "p": -1, "q": -1, "after": -1, "far": -1, "free": 0}
+    assert got == want
+    turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", "t") for k in range(8)], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["level"] for r in toolcalls.link_calls(*toolcalls.conversation_calls(turns), toolcalls.REPLY).collect()}
+    assert got == {0: 0, 2: 1, 4: 2, 6: 3}
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows = [(i, prose(60, i) + (" " + " ".join(f"vile{r.randrange(99)}" for _ in range(3)) if i % 5 == 0 else ""), "a") for i in range(400)]
