@@ -2,19 +2,23 @@
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary,
 followed by one Zstandard frame per record, so any record can be read from its offset with the
-dictionary alone.  The dictionary is trained once from archived records: those ``SAMPLE_ROWS`` pages
-with the smallest hash of the id, at most ``SAMPLE_BYTES`` of each, a bounded sample; too few records
-for training serve as raw content.  It only affects size, never content.
+dictionary alone.  The dictionary is trained once from records as they are archived: headers and
+payloads of those ``SAMPLE_ROWS`` responses with the smallest hash of the payload, of a longer payload
+``SAMPLE_BYTES`` from a place that the hash picks, a bounded sample; too few records for training
+serve as raw content.  It only affects size, never content.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page id is the
-response and the others are revisit records without payload that name it.
+response and the others are revisit records without payload that name it.  Every payload has exactly
+one response, whatever ids its rows have: rows are told apart by payload, id and url.
 
-Files are named by task and number, rows are sorted within tasks, and a file appears by rename: a
-task that runs again writes the same files.  A file closes after ``ROLL`` bytes.
+A payload is shuffled for its response only; revisits are written from their ids, urls and digests.
+Files are named by kind, task and number, rows are sorted within tasks, and a file appears by rename:
+a task that runs again writes the same files.  A file closes after ``ROLL`` bytes.
 
-Rows: a null payload is empty; a null url is written without a target; a null id ranks last and is
-written empty; repeated rows are records of their own, one the response.  An empty table gives no
-archive and an empty result.
+Rows: a null payload is empty; a null url is written without a target; a null id ranks last, is written
+empty and read back as null, also as the id that revisits name; of rows with one payload and one id the
+one with the smallest url (null last) is the response, of equal rows any one, the others revisit it.
+An empty table gives no archive and an empty result.  Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from .scratch import Stage, new_path, shuffle_width
 MAGIC = 0x184D2A5D
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 1000, 16 << 10, 64 << 10
 ROLL = 32 << 20
+EQUAL = 4096  # equal rows that one task writes
 _END = b"\r\n"
 
 
@@ -53,11 +58,12 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(full)[:DICT_BYTES]
 
 
-def record(kind: str, page: str, url: str | None, payload: bytes, refers: str | None) -> bytes:
+def record(kind: str, page: str, url: str | None, payload: bytes, digest: str, size: int, refers: str) -> bytes:
+    """One record; ``digest`` and ``size`` are the full payload's, which a revisit does not hold."""
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {url}".replace("\r", " ").replace("\n", " ")] if url is not None else []),
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}",
     ]
     body = payload
     if kind == "revisit":
@@ -78,7 +84,11 @@ def dictionary_frame(data: bytes) -> bytes:
 
 
 def records(archive: bytes) -> Iterator[bytes]:
-    """The records of an archive, each decompressed from its own frame."""
+    """The records of an archive, each decompressed from its own frame.
+
+    A frame is fed in steps that double, so that what is handed over past its end, and is copied back,
+    is no longer than the frame: reading is linear in the archive.
+    """
     at, plain = 0, None
     if len(archive) >= 8 and struct.unpack_from("<I", archive)[0] == MAGIC:
         n = struct.unpack_from("<I", archive, 4)[0]
@@ -86,10 +96,15 @@ def records(archive: bytes) -> Iterator[bytes]:
     tool = zstandard.ZstdDecompressor(dict_data=plain)
     view = memoryview(archive)
     while at < len(archive):
-        one = tool.decompressobj()
-        out = one.decompress(view[at:])
-        at = len(archive) - len(one.unused_data)
-        yield out
+        one, out, step = tool.decompressobj(), [], 512
+        while not one.eof:
+            if at >= len(archive):
+                raise ValueError("the archive ends inside a record")
+            fed = view[at : at + step]
+            out.append(one.decompress(fed))
+            at, step = at + len(fed), step * 2
+        at -= len(one.unused_data)
+        yield b"".join(out)
 
 
 def _local(uri: str) -> str:
@@ -99,33 +114,18 @@ def _local(uri: str) -> str:
     return u.path
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0) -> DataFrame:
-    """Write all pages below ``folder``, a path that all executors mount; (file, records, bytes) per archive."""
-    spark = pages.sparkSession
-    stage = Stage(spark, "warc")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html"))
-    size, same = F.octet_length("html"), F.sha2("html", 256)
-    seen = stage.table(rows.select("id", size.alias("n"), same.alias("same")), "seen")
-    first = stage.table(seen.where(F.col("n") >= least).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
-    revisit = seen.where(F.col("n") >= least).join(first, "same").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("rid"), "first")
-    revisit = stage.table(revisit.distinct(), "revisit")
-    # Only ids are ranked; the sampled payloads are then read by them.
-    ids = stage.table(seen.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select(F.col("id").alias("sid")), "sampled")
-    sample = rows.join(F.broadcast(ids), F.col("id") == F.col("sid")).select("id", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("s"))
-    sample = sample.groupBy("id").agg(F.min("s").alias("s")).orderBy("id")
-    words = spark.sparkContext.broadcast(train_dictionary([bytes(r["s"]) for r in sample.collect()]))
-    joined = rows.join(revisit, rows["id"].eqNullSafe(revisit["rid"]), "left").select("id", "url", "html", "first")
-    width = shuffle_width(spark)
-    target = _local(folder)
+def _writer(target: str, kind: str, words):
+    """Arrow batches (id, url, html, digest, size, first) to archive files; a row per file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tool = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(words.value) if words.value else None)
         buffer, count, number, done = bytearray(), 0, 0, []
+        named = lambda x: "" if x is None else str(x)
 
         def close() -> None:
             nonlocal buffer, count, number
-            name = f"{target}/part-{part:06d}-{number:05d}.warc.zst"
+            name = f"{target}/{kind}-{part:06d}-{number:05d}.warc.zst"
             os.makedirs(target, exist_ok=True)
             with open(f"{name}.{TaskContext.get().taskAttemptId()}.tmp", "wb") as f:
                 f.write(dictionary_frame(words.value) + buffer)
@@ -135,9 +135,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             for r in batch.to_pylist():
-                kind = "response" if r["first"] is None else "revisit"
-                page = "" if r["id"] is None else str(r["id"])
-                buffer += tool.compress(record(kind, page, r["url"], r["html"].encode(), None if r["first"] is None else str(r["first"])))
+                digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
+                buffer += tool.compress(record(kind, named(r["id"]), r["url"], (r["html"] or "").encode(), digest, r["size"], named(r["first"])))
                 count += 1
                 if len(buffer) >= ROLL:
                     close()
@@ -146,8 +145,70 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["file", "records", "bytes"])
 
-    sorted_rows = joined.repartition(width, "id").sortWithinPartitions("id", "url", "html")
-    return stage.table(sorted_rows.mapInArrow(write, "file string, records long, bytes long"), "manifest")
+    return write
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0) -> DataFrame:
+    """Write all pages below ``folder``, a path that all executors mount; (file, records, bytes) per archive."""
+    spark = pages.sparkSession
+    stage = Stage(spark, "warc")
+    html = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
+    place = F.xxhash64(F.col("id").isNull(), "id", F.col("url").isNull(), "url").alias("place")  # equal for rows of one id and url
+    rows = rows.select("*", place)
+    hashed = rows.select("id", "url", "place", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("same"), F.sha1(F.col("html").cast("binary")).alias("digest"))
+    what = ["id", "url", "place", "size", "same", "digest"]
+    seen = stage.table(hashed.groupBy(*what).agg(F.count(F.lit(1)).alias("n")), "seen")
+    rank = F.struct(F.col("id").isNull().alias("z"), "id", F.col("url").isNull().alias("y"), "url", "place", "size", "digest")
+    best = stage.table(seen.where(F.col("size") >= least).groupBy("same").agg(F.min(rank).alias("x")).select("same", "x.id", "x.url", "x.place", "x.size", "x.digest"), "best")
+    small = seen.where(F.col("size") < least)
+    # Every other row of a payload, equal ones counted, is a revisit; it needs no payload.
+    named = best.select("same", F.col("id").alias("first"), F.col("url").alias("first_url"))
+    is_best = F.col("id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    others = seen.where(F.col("size") >= least).join(named, "same").withColumn("n", F.col("n") - is_best.cast("long"))
+    others = _times(others.where("n > 0").select(*what, "first", "n"), shuffle_width(spark))
+    words = spark.sparkContext.broadcast(train_dictionary(_sample(rows, best.unionByName(small.select(*best.columns)))))
+    target = _local(folder)
+    out = "file string, records long, bytes long"
+    whole = rows.withColumn("same", F.sha2("html", 256))
+    alone = lambda key: whole.join(key.select("place", "same", "size", "digest"), ["place", "same"])
+    order = ["id", "url", "same"]
+    payload = ["id", "url", "html", "digest", "size", "same"]
+    once, again = (best.join(seen.where(f"n {x} 1").select("same", "place"), ["same", "place"], "left_semi") for x in ("=", ">"))
+    single = alone(once).select(*payload)
+    several = alone(again).groupBy("same").agg(*[F.first(c).alias(c) for c in ("id", "url", "html", "digest", "size")]).select(*payload)
+    found = single.unionByName(several)
+    if least:
+        found = found.unionByName(alone(small).select(*payload))
+    none = F.lit(None)
+    responses = found.withColumn("first", none.cast(pages.schema[id_col].dataType)).sortWithinPartitions(*order)
+    revisits = others.withColumn("html", none.cast("string")).sortWithinPartitions(*order)
+    cols = ["id", "url", "html", "digest", "size", "first"]
+    files = stage.table(responses.select(*cols).mapInArrow(_writer(target, "response", words), out), "manifest")
+    more = stage.table(revisits.select(*cols).mapInArrow(_writer(target, "revisit", words), out), "manifest-revisits")
+    stage.drop("seen", "best")
+    return files.unionByName(more)
+
+
+def _times(df: DataFrame, width: int) -> DataFrame:
+    """Each row ``n`` times; a large ``n`` is dealt out over many tasks in blocks of ``EQUAL``."""
+    many = df.where(F.col("n") > EQUAL)
+    blocks = many.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {EQUAL}"))))
+    blocks = blocks.repartition(width, "same", "place", "k").withColumn("n", F.least(F.lit(EQUAL), F.col("n") - F.col("k") * EQUAL)).drop("k")
+    return df.where(F.col("n") <= EQUAL).unionByName(blocks).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("again", "n")
+
+
+def _sample(rows: DataFrame, responses: DataFrame) -> list[bytes]:
+    """At most SAMPLE_ROWS records as they are archived, of at most about SAMPLE_BYTES each."""
+    keys = responses.select("id", "url", "place", "size", "same", "digest").orderBy("same", "id", "url").limit(SAMPLE_ROWS).select("place", "same", "size", "digest")
+    raw = F.col("html").cast("binary")
+    start = F.pmod(F.conv(F.substring("same", 1, 8), 16, 10).cast("long"), F.greatest(F.lit(1), F.col("size") - SAMPLE_BYTES + 1)) + 1
+    chunk = F.substring(raw, start.cast("int"), F.lit(SAMPLE_BYTES)).alias("chunk")
+    near = rows.join(F.broadcast(keys.select("place").distinct()), "place", "left_semi").withColumn("same", F.sha2("html", 256))
+    found = near.join(F.broadcast(keys), ["place", "same"]).select("id", "url", "size", "digest", "same", chunk)
+    found = found.groupBy("same", "id", "url", "size", "digest").agg(F.min("chunk").alias("chunk"))
+    name = lambda d: base64.b32encode(bytes.fromhex(d)).decode()
+    return [record("response", "" if r["id"] is None else str(r["id"]), r["url"], bytes(r["chunk"]), name(r["digest"]), r["size"], "") for r in found.orderBy("same", "id", "url").collect()]
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
