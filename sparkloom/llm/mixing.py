@@ -1,8 +1,8 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Sources in code-point order (null last) weigh 3, 1, 2, repeating.  Together they shall take 150 % of
-all words; a source's target stops at twice its own size and the excess is shared again by weight.
-That water level has a closed form over the sources sorted by size / weight.
+all words; a source's target stops at twice its own size and the excess is shared again by weight,
+round by round, until none is above.
 
 Every document of a source gets ``target / source size`` copies, a whole part and a fraction.  The
 fractions are rounded dependently: two documents are paired, and words are moved at random from one
@@ -12,8 +12,10 @@ one unsettled document; these go into the next, smaller round of blocks, until o
 left, which is rounded alone.  A source's words are off its target by less than that document.
 
 Rows: null text and empty text have size 0, are taken once per whole copy and add no words; a null
-source is a source; a null id is told apart by its row; repeated rows are documents of their own.
-Randomness is a hash of the id and the seed, so reruns agree.  Only id, text and source are read.
+source is a source; repeated rows are documents of their own, as are rows with a null id.  Randomness
+is a hash of the id, the source, the text and the seed, and of equal rows, which are numbered, of the
+number: reruns agree, whatever order or layout the rows come in (equal rows may change places), and a
+repeated id fills many blocks.  An empty table gives an empty result.  Only id, text and source are read.
 
 Scale: texts are read once, for their size; rounds shuffle fixed-width rows, each round a
 ``BLOCK``-th of the one before, grouped by (source, block) so that a hot source has many groups.
@@ -24,9 +26,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered, numbered_within
 from .scratch import Stage
 from .textcols import WORD, let, text_or_empty, unit
 
@@ -39,20 +41,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, n, target); the windows run over sources, not over documents."""
-    src = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), place % len(weights))
-    src = src.select("source", "source_size", "n", weight.alias("w"))
-    order = W.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    spare = F.sum("source_size").over(every) * share - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    left = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    src = src.withColumn("level", spare / left)
-    level = F.min(F.when(F.col("source_size") * most >= F.col("level") * F.col("w") * (1 - 1e-12), F.struct(F.col("source_size") / F.col("w"), F.col("level")))).over(every)["level"]
-    return src.select("source", "source_size", "n", F.least(F.col("source_size") * most, F.greatest(level, F.lit(0.0)) * F.col("w")).alias("target"))
+def source_targets(sized: DataFrame, stage: Stage, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, n, target); sources may be any number, no task holds them all."""
+    src = stage.table(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int"))
+    src = stage.table(numbered(src, [F.col("source").asc_nulls_last()], stage, "placed", "place").withColumn("w", weight).drop("place"), "weighed")
+    cap = F.col("source_size") * most
+    level, above, total = None, -1, (src.agg(F.sum("source_size")).first()[0] or 0) * share
+    while True:
+        # Those above stay at their caps; the level rises for the others, so that none comes back below.
+        full = F.lit(False) if level is None else cap <= F.lit(level) * F.col("w")
+        n, held, w = src.agg(F.count_if(full), F.sum(F.when(full, cap).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        if n == above or not w:
+            break
+        above, level = n, max(0.0, (total - held) / w)
+    return src.select("source", "source_size", "n", F.least(cap, F.lit(float(level or 0)) * F.col("w")).alias("target"))
 
 
 def _pivot(seed: int):
@@ -87,31 +90,47 @@ def _pivot(seed: int):
     return fold
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+def _row_hashes(sized: DataFrame, seed: int, stage: Stage) -> DataFrame:
+    """``sized`` with h, which differs between rows: equal rows are numbered."""
+    key = F.xxhash64(F.lit(seed), F.col("doc").isNull(), "doc", F.col("source").isNull(), "source", "text_hash")
+    sized = sized.select("*", key.alias("key")).drop("text_hash")
+    twins = stage.table(sized.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "twins")
+    if twins.isEmpty():
+        return sized.withColumnRenamed("key", "h")
+    nth = numbered_within(sized.join(twins, "key", "left_semi").select("key", "rid"), ["key"], ["rid"], stage, "twin")
+    nth = stage.table(nth.select("rid", F.xxhash64("key", "nth").alias("own")), "own")
+    return sized.join(nth, "rid", "left").withColumn("h", F.coalesce("own", "key")).drop("own", "key")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, row: str | None = None) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies, taken.
 
-    ``rid`` (the row's number in this run) is returned as well, for joining rows back.
+    ``rid`` is returned as well, for joining rows back: the column ``row``, a long that differs between
+    rows, or the row's number in this run.
     """
     stage = Stage(df.sparkSession, "mix")
+    text = text_or_empty(text_col)
+    rid = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
     sized = stage.table(
-        df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size")),
+        df.select(rid.alias("rid"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash")),
         "sizes",
     )
-    targets = stage.table(source_targets(sized), "targets")
+    targets = stage.table(source_targets(sized, stage), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # Sources are few beside documents, but nothing bounds them: Spark broadcasts by measured size only.
     t = targets.withColumnRenamed("source", "s")
-    rows = sized.join(t, sized["source"].eqNullSafe(t["s"])).drop("s").withColumn("rate", rate)
+    rows = _row_hashes(sized, seed, stage)
+    rows = rows.join(t, rows["source"].eqNullSafe(t["s"])).drop("s").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPS)
     frac = F.when(F.col("rate") - whole < EPS, 0.0).otherwise(F.col("rate") - whole)
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc"), -F.col("rid") - 1))
-    rows = stage.table(rows.withColumns({"whole": whole.cast("int"), "p": frac, "h": h}).drop("rate"), "rows")
+    rows = stage.table(rows.withColumns({"whole": whole.cast("int"), "p": frac}).drop("rate"), "rows")
     item = F.struct((-F.col("size")).alias("o"), F.col("h"), F.struct("rid", "doc").alias("id"), F.col("size").cast("double").alias("size"), "whole", "p")
     open_rows = (F.col("size") > 0) & (F.col("p") > 0)
     item_type = f"struct<h:bigint,id:struct<rid:bigint,doc:{df.schema[id_col].dataType.simpleString()}>,size:double,whole:int,p:double>"
     cols = ["source", "source_size", "target"]
     level = rows.where(open_rows).select(*cols, "n", item.alias("x"))
     most = targets.agg(F.max("n")).first()[0] or 1
+    stage.keep("rows")
     settled = []
     k = 0
     while True:

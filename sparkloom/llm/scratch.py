@@ -2,13 +2,14 @@
 
 Tables are written as Parquet below ``spark.checkpoint.dir``, the folder that the driver and all
 executors share, and read back; this cuts lineage, and the re-read plan carries real exchanges that
-AQE may split when a key is hot.  Only where the setting is empty (tests on one machine) is a local
-folder used.
+AQE may split when a key is hot.  Where the setting is empty a local folder is used on one machine
+(tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _LOCAL
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _LOCAL is None:
             _LOCAL = tempfile.mkdtemp(prefix="sparkloom-")
         base = f"file://{_LOCAL}"
@@ -67,6 +70,10 @@ class Stage:
         for label in labels:
             drop_path(self.spark, self.paths.pop(label))
 
+    def keep(self, *labels: str) -> None:
+        """Remove every table but these; what was read from a removed one must not be used again."""
+        self.drop(*[x for x in self.paths if x not in labels])
+
 
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])

@@ -1,15 +1,18 @@
 """The operators against brute force, on small fixtures with nulls, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkloom.llm")
-from sparkloom.llm import decontam, exact_dedup, mixing, near_dedup, pii, secrets, sharding, toolcalls, toxicity, warc  # noqa: E402
+from sparkloom.llm import decontam, exact_dedup, mixing, near_dedup, pii, ranks, secrets, sharding, toolcalls, toxicity, warc  # noqa: E402
+from sparkloom.llm.scratch import Stage, new_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -91,22 +94,68 @@ def test_secrets_among_many(spark):
     assert short not in got[3] and long in got[4]
 
 
-def test_mixing(spark):
-    rows = [(i, prose(5 + i % 37, i), f"s{i % 4}") for i in range(600)] + EDGE[:5]
-    df = docs(spark, rows)
-    got = mixing.mix(df).collect()
-    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    total, by = {}, {}
+def levels_by_hand(sizes, share=1.5, most=2.0):
+    """{source: target}: weights 3, 1, 2 by code point, null last; the excess is shared again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}
+    target, left, free = dict.fromkeys(order, 0.0), share * sum(sizes.values()), set(order)
+    while free and left > 1e-9:
+        part, total = left, sum(w[s] for s in free)
+        for s in list(free):
+            target[s] += part * w[s] / total
+        left = 0.0
+        for s in list(free):
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                free.discard(s)
+    return target
+
+
+def mixed(spark, rows):
+    """The mix of rows, its sizes, targets and copies checked; [(id, source, size, taken)]."""
+    got = mixing.mix(docs(spark, rows)).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(i), str(s), words(t)) for i, t, s in rows) == sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in got)
+    sizes, taken, largest = {}, {}, {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
+        assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+    want = levels_by_hand(sizes)
     for r in got:
-        total.setdefault(r["source"], [r["source_size"], r["target"]])
-        by[r["source"]] = by.get(r["source"], 0) + r["taken"]
-        assert r["size"] == 0 or r["copies"] in (int(r["target"] / r["source_size"]), int(r["target"] / r["source_size"]) + 1)
-    assert abs(sum(t for _, t in total.values()) - 1.5 * sum(s for s, _ in total.values())) < 1e-6 * sum(s for s, _ in total.values())
-    for s, (size, target) in total.items():
-        assert target <= 2 * size + 1e-6 and abs(by[s] - target) <= 45 + 1e-6
-    again = mixing.mix(df.repartition(7)).collect()
-    key = lambda rs: sorted((str(r["doc_id"]), r["taken"]) for r in rs if r["doc_id"] is not None)
-    assert key(got) == key(again)
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * (1 + sum(sizes.values()))
+        assert not r["size"] or r["copies"] in (int(r["target"] / r["source_size"]), int(r["target"] / r["source_size"]) + 1)
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s] + 1e-6
+    return sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in got)
+
+
+def test_mixing(spark):
+    rows = [(i, prose(5 + i % 37, i), f"s{i % 4}") for i in range(600)] + EDGE
+    a = mixed(spark, rows)
+    random.Random(2).shuffle(rows)
+    assert a == mixed(spark, rows)
+    mixed(spark, [(i, prose(3 + i % 5, i), f"s{i % 17}" if i % 3 else "hot") for i in range(400)])
+    assert mixing.mix(docs(spark, EDGE[:3])).where("taken > 0").count() == 0
+    assert mixing.mix(docs(spark, EDGE).limit(0)).count() == 0
+
+
+def test_mixing_one_id(spark):
+    """Many rows of one id, equal ones and others, fill many blocks; so do rows without id."""
+    many = spark.range(30000, numPartitions=4).select(F.when(F.col("id") % 3 > 0, 7).alias("doc_id"), F.concat(F.lit("a b c "), (F.col("id") % 2).cast("string")).alias("text"), F.when(F.col("id") % 5 > 0, "x").alias("source"))
+    one, two = ([tuple(r) for r in mixing.mix(d).groupBy("doc_id", "source", "copies").count().orderBy("doc_id", "source", "copies").collect()] for d in (many, many.repartition(3)))
+    assert one == two and sum(r[3] for r in one) == 30000
+    words = {s: sum(4 * r[2] * r[3] for r in one if r[1] == s) for s in ("x", None)}
+    want = levels_by_hand({"x": 4 * 24000, None: 4 * 6000})
+    assert all(abs(words[s] - want[s]) <= 4 for s in want)
+
+
+def test_numbered(spark):
+    df = spark.range(1000, numPartitions=5).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    got = ranks.numbered_within(df, ["k"], [F.col("v").desc()], Stage(spark, "t"), "n").collect()
+    assert sorted((r["k"], r["nth"], r["v"]) for r in got) == sorted((k, n + 1, v) for k in range(7) for n, v in enumerate(sorted((v for v in range(1000) if v % 7 == k), reverse=True)))
 
 
 def test_near_components(spark):
@@ -197,14 +246,59 @@ def test_sharding(spark):
     assert len(got) == len(EDGE) and len({r["shard"] for r in got if r["doc_id"] == 4}) == 1
 
 
+def warc_by_hand(rows, least=0):
+    """(id, bytes, digest, kind, refers) of every row."""
+    body = lambda r: (r[2] or "").encode()
+    rank = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    out, best = [], {}
+    for r in rows:
+        if len(body(r)) >= least:
+            best[body(r)] = min(best.get(body(r), r), r, key=rank)
+    used = set()
+    for r in sorted(rows, key=rank):
+        b = body(r)
+        first = len(b) < least or (b not in used and rank(best[b]) == rank(r))
+        used.add(b)
+        out.append((r[0], len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else best[b][0]))
+    return sorted(out, key=str)
+
+
 def test_warc(spark):
     same = "<p>" + prose(50, 1) + "</p>"
     rows = [(3, "u", same), (1, "u", same), (2, None, None), (5, "v", ""), (7, "w", "é" * 9), (8, "w", prose(60000, 2))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit(0))
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
-    n = lambda t: len((t or "").encode())
-    assert got == {1: (n(same), "response", None), 3: (n(same), "revisit", 1), 2: (0, "response", None), 5: (0, "revisit", 2), 7: (18, "response", None), 8: (n(rows[-1][2]), "response", None)}
+    rows += [(1, "x", "AAA"), (5, None, "AAA"), (5, "b", "BBB"), (None, None, "AAA"), (None, None, "CCC"), (None, None, "CCC"), (None, "n", "CCC"), (7, "t", "DDD"), (7, "t", "DDD"), (7, "s", "DDD"), (1, "x", "EEE")]
+    rows += [(50 + k % 3, "same", "often") for k in range(40)] + [(100 + k, f"u{k}", prose(30, k % 11)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit(0)).withColumn("same", F.lit("x"))
+    out = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert out(warc.round_trip(pages)) == warc_by_hand(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # With a least size; every payload is in the archives, under its response.
+    folder = new_path(spark, "archives")
+    files = warc.write_archives(pages, folder, least=100)
+    assert files.agg(F.sum("records")).first()[0] == len(rows)
+    back = warc.read_archives(spark, folder)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert out(back.select(*cols)) == warc_by_hand(rows, 100)
+    texts = {bytes(r["payload"]) for r in back.where("record_type = 'response'").collect()}
+    assert texts == {(t or "").encode() for _, _, t in rows}
+
+
+def test_warc_blocks_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "EQUAL", 7)
+    rows = [(1, "u", "same")] * 50 + [(2, "u", "same")] * 3
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None)] + [(1, "revisit", 1)] * 49 + [(2, "revisit", 1)] * 3
+
+
+def test_warc_reads_each_frame(spark):
+    """Records of all lengths from their frames; an archive cut short is an error."""
+    words = warc.train_dictionary([prose(80, k).encode() for k in range(200)])
+    tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words))
+    raw = [b"", b"x", *(prose(n, n).encode() for n in (1, 50, 3000, 100000, 2))]
+    archive = warc.dictionary_frame(words) + b"".join(tool.compress(x) for x in raw)
+    assert list(warc.records(archive)) == raw
+    with pytest.raises(ValueError):
+        list(warc.records(archive[:-3]))
 
 
 def test_tool_calls(spark):
