@@ -74,6 +74,41 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_tool_calls": r"""
+        WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM conversations),
+        callers AS (SELECT * FROM t WHERE role <> 'assistant'),
+        calls AS (
+          SELECT c.conv_id, 'call-' || c.turn AS call_id, c.turn, CASE WHEN c.role = 'user' THEN 'reply' ELSE 'instruct' END AS name,
+                 CASE WHEN c.role = 'user' THEN 'prompt' ELSE 'text' END AS key, c.text, coalesce(a.turn, b.turn) AS before,
+                 row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY c.text) AS nth
+          FROM callers c LEFT JOIN (SELECT DISTINCT conv_id, turn FROM callers) a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+          LEFT JOIN (SELECT DISTINCT conv_id, turn FROM callers WHERE role = 'user') b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+        levels AS (
+          SELECT DISTINCT conv_id, turn, 0 AS level FROM calls WHERE before IS NULL
+          UNION ALL
+          SELECT n.conv_id, n.turn, level + 1 FROM (SELECT DISTINCT conv_id, turn, before FROM calls) n JOIN levels l ON n.conv_id = l.conv_id AND n.before = l.turn),
+        results AS (
+          SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
+          FROM t WHERE role = 'assistant')
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.nth, r.nth) AS nth, c.turn, r.turn AS result_turn, c.name,
+               CASE WHEN c.turn IS NULL THEN 'orphan result' WHEN r.turn IS NULL THEN 'open' WHEN c.nth > 1 THEN 'extra' ELSE 'linked' END AS status,
+               CASE WHEN c.turn IS NULL THEN NULL WHEN c.text IS NULL THEN 'missing ' || c.key WHEN c.text = '' THEN 'length of ' || c.key ELSE 'ok' END AS arguments_ok,
+               '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{' || CASE WHEN c.text IS NULL THEN '' ELSE '"' || c.key || '":' || to_json(c.text) || ',' END || '"turn":' || c.turn || '}' END
+                 || ',"call":"' || coalesce(c.call_id, r.call_id) || '","conversation":' || coalesce(c.conv_id, r.conv_id) || ',"name":' || coalesce('"' || c.name || '"', 'null')
+                 || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json, l.level::INT AS level
+        FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = r.nth
+        LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+    """,
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        w AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, row_number() OVER same AS r, first_value(page_id) OVER same AS first FROM p
+              WINDOW same AS (PARTITION BY html ORDER BY page_id NULLS LAST))
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to
+        FROM w
+    """,
     "op4_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

@@ -1,36 +1,72 @@
 """Tool-call linking: calls and results joined by identifier, ordered, validated, serialised.
 
 A call is linked to the result of the same (conversation, identifier) by a hash join; with repeated
-identifiers the earliest call meets the earliest result and further ones are ``extra``.  Calls name
-the calls they depend on.  Their topological level is the longest chain of dependencies before them,
-of any length; calls on a cycle, or after one, get level -1.  Chains of calls with one dependency each
-are followed by pointer doubling, in rounds that grow with the log of their length; calls with
-several are peeled, one round for each such call on a path.  Arguments are checked against their tool's schema: required
-keys, types, and no unknown keys.  Canonical JSON has sorted keys, no blanks and UTF-8 text.
-
-Rows: a null identifier links with nothing; null or malformed arguments are invalid; repeated rows
-follow the rule for repeated identifiers; empty tables give empty results.  A conversation may hold
-any share of the rows: nothing is gathered per conversation.
+identifiers the earliest call meets the earliest result, the second the second and so on, and calls
+beyond the first are ``extra`` (rows of one turn in the order of their content).  Calls name the calls
+they depend on.  Their topological level is the longest chain of dependencies before them, of any
+length; calls on a cycle, or after one, get level -1.  Chains of calls with one dependency each are
+followed by pointer doubling, in rounds that grow with the log of their length; calls with several
+are peeled, one round for each such call on a path.  A dependency on an identifier that no call of the
+conversation has is no dependency.
+
+Arguments are checked against their tool's schema: required keys, types, and no unknown keys.  Strict
+JSON alone is accepted: NaN and infinite numbers are malformed, as are values nested deeper than
+``DEEPEST``.  Canonical JSON has sorted keys (by code point; of repeated keys the last), no blanks and
+UTF-8 text; half a surrogate pair, which UTF-8 cannot hold, stays escaped.  Malformed arguments are
+serialised as the string they are.
+
+Rows: a call or result whose identifier or conversation is null links with nothing (``nth`` is null) and
+has level 0; null or malformed arguments are invalid; repeated rows follow the rule for repeated
+identifiers; empty tables give empty results; further columns are not read.  A conversation, or one
+identifier, may hold any share of the rows: nothing is gathered per conversation, and only repeated
+identifiers are numbered, by a distributed sort.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .ranks import numbered_within
 from .scratch import Stage
 
+DEEPEST = 200
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*+"?', re.S)
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if math.isfinite(x) else _refuse(text)
+
+
+def strict_json(text: str):
+    """The value of strict JSON text; anything else is a ValueError."""
+    if text.count("[") + text.count("{") > DEEPEST:
+        depth = most = 0
+        for c in re.findall(r"[\[\]{}]", _STRING.sub("", text)):
+            depth += 1 if c in "[{" else -1
+            most = max(most, depth)
+        if most > DEEPEST:
+            raise ValueError("nested too deep")
+    return json.loads(text, parse_constant=_refuse, parse_float=_finite)
 
 
 def check_arguments(text: str | None, schema: dict | None) -> str:
     """``ok``, or what is wrong first."""
     try:
-        args = json.loads(text) if text is not None else None
+        args = strict_json(text) if text is not None else None
     except ValueError:
         return "malformed"
     if schema is None:
@@ -43,7 +79,7 @@ def check_arguments(text: str | None, schema: dict | None) -> str:
     for k in sorted(args):
         want = schema.get("properties", {}).get(k)
         if want is None:
-            return f"unknown {k}"
+            return _utf8(f"unknown {k}")
         kind = _TYPES[want["type"]]
         if not isinstance(args[k], kind) or (isinstance(args[k], bool) and want["type"] in ("integer", "number")):
             return f"type of {k}"
@@ -52,8 +88,13 @@ def check_arguments(text: str | None, schema: dict | None) -> str:
     return "ok"
 
 
+def _utf8(text: str) -> str:
+    """Half surrogate pairs as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _utf8(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -64,33 +105,55 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """
     spark = calls.sparkSession
     stage = Stage(spark, "calls")
-    nth = F.row_number().over(W.partitionBy("conv_id", "call_id").orderBy("turn"))
-    c = calls.withColumn("nth", nth)
-    r = results.withColumn("nth", nth).select("conv_id", "call_id", "nth", F.col("turn").alias("result_turn"), "content")
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on", F.lit(True).alias("is_call"))
+    results = results.select("conv_id", "call_id", "turn", "content")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    c = _nth(calls.where(named), F.xxhash64("name", "arguments", "depends_on"), stage, "c")
+    r = _nth(results.where(named), F.xxhash64("content"), stage, "r").select("conv_id", "call_id", "nth", F.col("turn").alias("result_turn"), "content")
+    none = F.lit(None).cast("long").alias("nth")
     linked = c.join(r, ["conv_id", "call_id", "nth"], "full")
-    status = F.when(F.col("name").isNull(), "orphan result").when(F.col("result_turn").isNull(), "open").when(F.col("nth") > 1, "extra").when(F.col("result_turn") < F.col("turn"), "early result").otherwise("linked")
+    linked = linked.unionByName(calls.where(~named).select("*", none), allowMissingColumns=True)
+    linked = linked.unionByName(results.where(~named).select("conv_id", "call_id", none, F.col("turn").alias("result_turn"), "content"), allowMissingColumns=True)
+    is_call = F.coalesce("is_call", F.lit(False))
+    status = F.when(~is_call, "orphan result").when(F.col("result_turn").isNull(), "open").when(F.col("nth") > 1, "extra").when(F.col("result_turn") < F.col("turn"), "early result").otherwise("linked")
+    number = isinstance(calls.schema["conv_id"].dataType, T.IntegralType)
 
     @F.pandas_udf("string")
-    def checked(name: pd.Series, args: pd.Series) -> pd.Series:
-        return pd.Series([None if n is None else check_arguments(a, schemas.get(n)) for n, a in zip(name, args, strict=True)])
+    def checked(name: pd.Series, args: pd.Series, call: pd.Series) -> pd.Series:
+        return pd.Series([check_arguments(a, schemas.get(n)) if is_one else None for n, a, is_one in zip(name, args, call, strict=True)])
 
     @F.pandas_udf("string")
     def serial(conv: pd.Series, call: pd.Series, name: pd.Series, args: pd.Series, content: pd.Series) -> pd.Series:
         def one(v, i, n, a, t):
             try:
-                a = json.loads(a) if a is not None else None
+                a = strict_json(a) if a is not None else None
             except ValueError:
                 pass
-            return canonical({"arguments": a, "call": i, "conversation": None if pd.isna(v) else int(v), "name": n, "result": t})
+            return canonical({"arguments": a, "call": i, "conversation": int(v) if v is not None and number else v, "name": n, "result": t})
 
         return pd.Series([one(*x) for x in zip(conv, call, name, args, content, strict=True)])
 
-    base = stage.table(linked.select("conv_id", "call_id", "nth", "turn", "result_turn", "name", status.alias("status"), checked("name", "arguments").alias("arguments_ok"), serial("conv_id", "call_id", "name", "arguments", "content").alias("json")), "linked")
+    text = F.col("conv_id").cast("string")  # a long with nulls would reach pandas as a double
+    cols = ["conv_id", "call_id", "nth", "turn", "result_turn", "name", status.alias("status"), checked("name", "arguments", is_call).alias("arguments_ok")]
+    base = stage.table(linked.select(*cols, is_call.alias("called"), serial(text, F.col("call_id"), F.col("name"), F.col("arguments"), F.col("content")).alias("json")), "linked")
     nodes = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.lit(0).alias("level"))
     edges = stage.table(calls.select("conv_id", "call_id", F.explode("depends_on").alias("before")).where("before IS NOT NULL").distinct(), "edges")
     edges = stage.table(edges.join(nodes.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi"), "known")
-    level = F.coalesce("level", F.lit(0))
-    return base.join(levels_of(edges, stage), ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("name").isNotNull(), level))
+    level = F.when(F.col("called"), F.coalesce("level", F.lit(0)))
+    levels = levels_of(edges, stage)
+    return base.join(levels, ["conv_id", "call_id"], "left").withColumn("level", level).drop("called")
+
+
+def _nth(rows: DataFrame, content: Column, stage: Stage, label: str) -> DataFrame:
+    """``rows`` with their number within the identifier, by turn and content; only repeated identifiers are sorted."""
+    key = ["conv_id", "call_id"]
+    often = stage.table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*key), f"{label}-often")
+    if often.isEmpty():
+        return rows.withColumn("nth", F.lit(1).cast("long"))
+    once = rows.join(often, key, "left_anti").withColumn("nth", F.lit(1).cast("long"))
+    many = stage.table(rows.join(often, key, "left_semi").withColumns({"_c": content, "_row": F.monotonically_increasing_id()}), f"{label}-many")
+    many = numbered_within(many, key, [F.col("turn").asc_nulls_last(), F.col("_c"), F.col("_row")], stage, f"{label}-nth", "nth")
+    return once.unionByName(many.drop("_c", "_row"))
 
 
 def levels_of(edges: DataFrame, stage: Stage) -> DataFrame:
@@ -133,21 +196,31 @@ def levels_of(edges: DataFrame, stage: Stage) -> DataFrame:
     return chains.unionByName(joints).withColumn("level", F.col("level").cast("int"))
 
 
-#: The schema of the calls that the conversations table is read as.
-REPLY = {"reply": {"required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer"}}}}
+#: The schemas of the calls that the conversations table is read as.
+_TEXT, _TURN = {"type": "string", "minLength": 1}, {"type": "integer"}
+REPLY = {
+    "reply": {"required": ["prompt", "turn"], "properties": {"prompt": _TEXT, "turn": _TURN}},
+    "instruct": {"required": ["text", "turn"], "properties": {"text": _TEXT, "turn": _TURN}},
+}
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A conversations table as calls and results: a user turn calls for the reply in the next turn,
-    and depends on the user turn before it, if that or its reply is the turn before.  Turns of other
-    roles are neither call nor result."""
-    t = turns.select("conv_id", "turn", "role", "text")
+    """A conversations table as calls and results.
+
+    A user turn calls ``reply`` for the assistant's text in the next turn; a turn of any role but user and
+    assistant (system turns) calls ``instruct``, which has no result.  A call depends on the call of the
+    turn before it or, where that is an assistant's, of the turn before that.  An assistant's turn after
+    no user turn is a result without a call.
+    """
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "text")
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
-    users, replies = t.where("role = 'user'"), t.where("role = 'assistant'")
-    after = lambda n: users.select("conv_id", (F.col("turn") + n).alias("turn"), name(F.col("turn")).alias(f"call{n}")).distinct()
-    calls = users.join(after(1), ["conv_id", "turn"], "left").join(after(2), ["conv_id", "turn"], "left").select(
-        "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
+    callers, replies = t.where("role <> 'assistant'"), t.where("role = 'assistant'")
+    is_user = F.col("role") == "user"
+    arguments = F.when(is_user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct("text", "turn")))
+    # The call of the turn before always is a dependency; that of two turns before only if it waits for a reply.
+    after = lambda rows, n: rows.select("conv_id", (F.col("turn") + n).alias("turn"), name(F.col("turn")).alias(f"call{n}")).distinct()
+    calls = callers.join(after(callers, 1), ["conv_id", "turn"], "left").join(after(callers.where(is_user), 2), ["conv_id", "turn"], "left").select(
+        "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(is_user, "reply").otherwise("instruct").alias("name"), arguments.alias("arguments"),
         F.array_compact(F.array(F.coalesce("call1", "call2"))).alias("depends_on"),
     )
     return calls, replies.select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))

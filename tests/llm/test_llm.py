@@ -327,6 +327,59 @@ def test_tool_calls_deep(spark):
     turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", "t") for k in range(8)], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: r["level"] for r in toolcalls.link_calls(*toolcalls.conversation_calls(turns), toolcalls.REPLY).collect()}
     assert got == {0: 0, 2: 1, 4: 2, 6: 3}
+    roles = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "r"), (1, 3, "user", ""), (1, 4, "user", None), (1, 5, "assistant", "r"), (1, 6, "assistant", "late"), (2, 0, "assistant", "first"), (2, 1, "user", "u"), (3, 0, None, "x")]
+    turns = spark.createDataFrame(roles, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["call_id"]): (r["name"], r["status"], r["level"], r["arguments_ok"]) for r in toolcalls.link_calls(*toolcalls.conversation_calls(turns), toolcalls.REPLY).collect()}
+    assert got == {
+        (1, "call-0"): ("instruct", "open", 0, "ok"), (1, "call-1"): ("reply", "linked", 1, "ok"), (1, "call-3"): ("reply", "open", 2, "length of prompt"), (1, "call-4"): ("reply", "linked", 3, "missing prompt"),
+        (1, "call-5"): (None, "orphan result", None, None), (2, "call--1"): (None, "orphan result", None, None), (2, "call-1"): ("reply", "open", 0, "ok"), (3, "call-0"): ("instruct", "open", 0, "ok"),
+    }
+
+
+CALL_SCHEMA = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"
+RESULT_SCHEMA = "conv_id long, call_id string, turn long, content string"
+
+
+def test_tool_arguments():
+    """Strict JSON alone is accepted, and everything has a canonical form that UTF-8 can hold."""
+    schema = {"required": ["x"], "properties": {"x": {"type": "string"}, "n": {"type": "number"}}}
+    check = lambda t: toolcalls.check_arguments(t, schema)
+    assert check('{"x":"\\ud800"}') == "ok" and toolcalls.canonical({"x": "a\ud800é\U0001f600"}) == '{"x":"a\\ud800é\U0001f600"}'
+    assert [check(t) for t in ('{"x":"","n":NaN}', '{"x":"","n":-Infinity}', '{"x":"","n":1e999}', "", "{'x':1}", '{"x":"a"')] == ["malformed"] * 6
+    deep = lambda n: '{"x":"","n":' + "[" * n + "]" * n + "}"
+    assert check(deep(100)) == "type of n" and [check(deep(n)) for n in (200, 5000, 300000)] == ["malformed"] * 3
+    assert check('{"x":"' + "[{" * 5000 + '"}') == "ok" and check('{"x":"\\"' + "[" * 5000 + '"}') == "ok"
+    assert check('{"x":"a","n":1.5}') == "ok" and check('{"x":"a","n":true}') == "type of n" and check('{"x":"a","\\udfff":1}') == "unknown \\udfff"
+    assert toolcalls.canonical(toolcalls.strict_json('{"b":1,"a":{"d":"é","c":[1.0,2]},"b":2}')) == '{"a":{"c":[1.0,2],"d":"é"},"b":2}'
+
+
+def test_tool_calls_edges(spark):
+    """Null identifiers, text conversations, numbers beyond a double, broken arguments, columns with clashing names."""
+    big = 2**53 + 1
+    rows = [(big, "a", 0, "reply", '{"prompt":"\\ud800","turn":0}', None), (None, "a", 0, "reply", "NaN", []), (big, None, 1, None, None, ["a"]), (big, None, 1, None, None, ["a"]), (None, None, None, None, None, None)]
+    calls = spark.createDataFrame(rows, CALL_SCHEMA).withColumns({"content": F.lit(1), "nth": F.lit(9), "is_call": F.lit(False), "level": F.lit(3)})
+    results = spark.createDataFrame([(big, "a", 1, "x"), (None, "a", 1, "y"), (big, None, 2, "z")], RESULT_SCHEMA).withColumn("name", F.lit("n"))
+    got = toolcalls.link_calls(calls, results, toolcalls.REPLY).collect()
+    assert sorted((str(r["conv_id"]), str(r["call_id"]), str(r["nth"]), r["status"], str(r["level"])) for r in got) == sorted(
+        [(str(big), "a", "1", "linked", "0"), ("None", "a", "None", "open", "0"), ("None", "a", "None", "orphan result", "None"), ("None", "None", "None", "open", "0"), (str(big), "None", "None", "orphan result", "None")]
+        + [(str(big), "None", "None", "open", "0")] * 2
+    )
+    assert f'"conversation":{big}' in next(r["json"] for r in got if r["status"] == "linked")
+    assert [r["arguments_ok"] for r in got if r["conv_id"] is None and r["name"]] == ["malformed"]
+    named = calls.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    got = toolcalls.link_calls(named, results.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string"))), {}).collect()
+    assert f'"conversation":"c{big}"' in next(r["json"] for r in got if r["status"] == "linked")
+    assert toolcalls.link_calls(calls.limit(0), results.limit(0), {}).count() == 0
+
+
+def test_tool_calls_one_identifier(spark):
+    """An identifier that many calls and results share: the k-th call by turn meets the k-th result."""
+    calls = spark.range(2000, numPartitions=3).selectExpr("1L AS conv_id", "'a' AS call_id", "(id * 7919) % 1009 AS turn", "'t' AS name", "concat('{\"i\":', id, '}') AS arguments", "array('a') AS depends_on")
+    results = spark.range(1500, numPartitions=2).selectExpr("1L AS conv_id", "'a' AS call_id", "id AS turn", "cast(id as string) AS content")
+    got = toolcalls.link_calls(calls, results, {}).collect()
+    assert sorted(r["nth"] for r in got) == list(range(1, 2001)) and all(r["level"] == -1 for r in got)
+    turns = sorted((i * 7919) % 1009 for i in range(2000))
+    assert all(r["turn"] == turns[r["nth"] - 1] and r["result_turn"] == (r["nth"] - 1 if r["nth"] <= 1500 else None) for r in got)
 
 
 def test_toxicity(spark):
