@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Kinds, in this order: email, ip, card (Luhn), phone, iban (mod-97), ssn (needs context).  The first
-four are the base kinds; every valid base match is kept whatever its score.  An iban or ssn is kept
-when its score reaches ``THRESHOLD``.
+four are the base kinds; every valid base match is kept whatever its score.  An iban has its country's
+length, which ends it whatever follows after a blank.  An iban or ssn is kept when its score reaches
+``THRESHOLD``: the checksum alone is enough for an iban, an ssn needs context.
 
 A score is the kind's prior, plus ``CONTEXT_BONUS`` when one of the kind's words lies within
 ``CONTEXT_CHARS`` characters of the span on either side, at most 1.
@@ -30,7 +31,25 @@ EMAIL_RE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A
 IP_RE = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD_RE = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE_RE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN_RE = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# The length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def _iban_re() -> str:
+    """A country, two digits, and as many characters as that country's numbers have, blanks between them or not."""
+    of = {n: [c for c, k in IBAN_LENGTHS.items() if k == n] for n in sorted(set(IBAN_LENGTHS.values()))}
+    kinds = "|".join(rf"(?:{'|'.join(cs)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, cs in of.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{kinds})(?![A-Za-z0-9])"
+
+
+IBAN_RE = _iban_re()
 SSN_RE = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 PRIOR = [0.9, 0.6, 0.7, 0.6, 0.8, 0.3]
