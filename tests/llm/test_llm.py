@@ -243,15 +243,94 @@ def test_near_components_of_large_regions(spark):
     assert [got[i] for i in range(len(sets))] == want.tolist()
 
 
+def lowered(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", (t or "").lower()).encode()
+
+
+def least_edits(text, item):
+    """Edits between the item and the region of the text that is nearest to it, by the whole matrix."""
+    import numpy as np
+
+    t = np.frombuffer(text, np.uint8)
+    row, step = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(item, 1):
+        new = np.append(i, np.minimum(row[:-1] + (t != c), row[1:] + 1))
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.min())
+
+
+def edited(text, rate, r, word=False):
+    """The text with about that share of its characters changed, lost or added, or of its words exchanged."""
+    if word:
+        w = text.split()
+        for at in r.sample(range(len(w)), max(1, int(rate * len(w)))):
+            w[at] = "swap" + str(r.randrange(99))
+        return " ".join(w)
+    out = list(text)
+    for at in r.sample(range(len(out)), int(rate * len(out))):
+        out[at] = r.choice(["", "x", out[at] + "y"])
+    return "".join(out)
+
+
 def test_decontam(spark):
-    item = prose(30, 77)
-    cut = item[:100] + "X" + item[103:]
-    rows = EDGE[:5] + [(10, "a " + item.upper() + " b", "a"), (11, prose(50, 3) + " " + cut + " " + prose(50, 4), "a"), (12, prose(300, 5), "a"), (13, item[:60], "a")]
-    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny-item"), (5, item)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
-    assert got == {(10, 1): 0, (11, 1): 3}
-    assert {r["doc_id"] for r in decontam.drop_leaks(docs(spark, rows), bench).collect()} == {1, 2, 3, 4, 12, 13}
-    assert decontam.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
+    """Every document and item within the item's edit budget, by brute force; short items as words."""
+    r = random.Random(9)
+    items = [(i, prose(r.randrange(4, 60), 900 + i)) for i in range(25)] + [(30, "tiny"), (31, "ab cd"), (32, "é!"), (33, None), (34, ""), (35, " \n"), (36, "TINY"), (None, prose(9, 950)), (37, "the same words at first " + prose(6, 951)), (38, "the same words at first " + prose(6, 952))]
+    items.append((39, items[5][1]))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("edits", F.lit(1))
+    rows = list(EDGE)
+    for i in range(120):
+        item = r.choice([t for _, t in items if t and len(t) > 20])
+        kind = i % 6
+        quote = item.upper() if kind == 0 else edited(item, r.choice([0.01, 0.03, 0.06, 0.09, 0.12, 0.2]), r) if kind < 4 else edited(item, 0.1, r, True) if kind == 4 else item[: len(item) // 2]
+        rows.append((100 + i, prose(r.randrange(0, 80), 2000 + i) + "\n\t" + quote + " " + prose(r.randrange(0, 80), 4000 + i), "a"))
+    rows += [(300, "tiny", "a"), (301, "a tinybit", "a"), (302, "so (tiny)", "a"), (303, "xab cd", "a"), (304, "Ab\n Cd", "a"), (305, "aé!", "a"), (306, "(É!)", "a"), (307, "", "a"), (310, items[3][1], "a"), (310, items[3][1], "a")]
+    got = {}
+    for x in decontam.find_leaks(docs(spark, rows), bench).collect():
+        got[x["doc_id"], x["item_id"]] = (x["edits"], x["start"], x["end"])
+    first = {}
+    for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
+        if lowered(t).strip(b" "):
+            first.setdefault(lowered(t).strip(b" "), i)
+    want = {}
+    for d, t, _ in rows:
+        for b, i in first.items():
+            if len(b) < decontam.Q:
+                if re.search(rb"(?<![0-9A-Za-z\x80-\xff])" + re.escape(b) + rb"(?![0-9A-Za-z\x80-\xff])", lowered(t)):
+                    want[d, i] = 0
+            elif (e := least_edits(lowered(t), b)) <= min(int(decontam.RATE * len(b)), (len(b) - decontam.Q) // decontam.Q):
+                want[d, i] = e
+    assert {k: v[0] for k, v in got.items()} == want and sum(e > 0 for e in want.values()) > 40
+    texts = {d: lowered(t) for d, t, _ in rows}
+    for (d, i), (e, lo, hi) in got.items():
+        b = next(x for x, k in first.items() if k == i)
+        assert 0 <= lo < hi <= len(texts[d]) and least_edits(texts[d][lo:hi], b) <= e
+    kept = sorted(str(x["doc_id"]) for x in decontam.drop_leaks(docs(spark, rows), bench).collect())
+    assert kept == sorted(str(d) for d, _, _ in rows if d not in {k[0] for k in want})
+    assert decontam.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.find_leaks(docs(spark, rows).limit(0), bench).count() == 0
+
+
+def test_decontam_frequent_grams(spark, monkeypatch):
+    """Items that share most of their text: the most frequent q-grams are left out, and nothing is lost; nor is it over several blocks."""
+    monkeypatch.setattr(decontam, "OFTEN", 3)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    r = random.Random(10)
+    items = [(i, "please answer the following question in one word " + prose(12, i)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(40, 700 + i) + " " + edited(items[i][1], 0.05, r) + " " + prose(40, 800 + i), "a") for i in range(40)] + [(99, "please answer the following question in one word " + prose(12, 5000), "a")]
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    want = {(d, i): e for d, t, _ in rows for i, b in items if (e := least_edits(lowered(t), lowered(b))) <= int(decontam.RATE * len(lowered(b)))}
+    assert got == want and len(want) >= 40
+
+
+@pytest.mark.parametrize("rate,least", [(0.01, 1.0), (0.03, 1.0), (0.06, 1.0)])
+def test_decontam_recall(spark, rate, least):
+    """Passages of 150 and more bytes with that share of their characters edited are found; clean texts are not."""
+    r = random.Random(int(rate * 100))
+    items = [(i, prose(25 + i % 30, 3000 + i)) for i in range(60)]
+    rows = [(i, prose(100, 6000 + i) + " " + edited(items[i][1], rate, r) + " " + prose(100, 7000 + i), "a") for i in range(60)] + [(100 + i, prose(300, 8000 + i), "a") for i in range(60)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= least * 60
 
 
 def test_sharding(spark):
