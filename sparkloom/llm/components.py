@@ -32,4 +32,6 @@ def components(edges: DataFrame, stage: Stage, label: str) -> DataFrame:
         least = stage.table(e.groupBy("u").agg(F.min("v").alias("m")), f"{label}-s{k}")
         star = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
         e = stage.table(star.distinct(), f"{label}-S{k}")
+        old = f"{label}-S{k - 1}" if k > 1 else f"{label}-e"
+        stage.drop(f"{label}-l{k}", f"{label}-L{k}", f"{label}-s{k}", old)
     return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -138,30 +138,38 @@ _INSIDE = np.zeros(256, bool)  # bytes that a word may hold beside a short item
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _hashes(b: np.ndarray, q: int):
+    """(first place, hashes of the q bytes from there on), part by part to bound memory."""
+    for lo in range(0, len(b), S.PIECE):
+        yield lo, qgrams(b[lo : lo + S.PIECE + q - 1], q)
+
+
 def _short_hits(b: np.ndarray, ends: np.ndarray, ix: dict):
     """(text, item, start, end) of every short item that stands as whole words."""
     starts = np.concatenate([[0], ends[:-1]])
     for n, (hashes, items) in ix["short"].items():
-        h = qgrams(b, n)
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        for p in np.flatnonzero(hi > lo).tolist():
-            t = int(np.searchsorted(ends, p, "right"))
-            if p + n > ends[t] or (p > starts[t] and _INSIDE[b[p - 1]]) or (p + n < ends[t] and _INSIDE[b[p + n]]):
-                continue
-            for i in items[lo[p] : hi[p]].tolist():
-                if (b[p : p + n] == ix["texts"][i]).all():
-                    yield t, i, p - int(starts[t]), p + n - int(starts[t])
+        for base, h in _hashes(b, n):
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                p = base + k
+                t = int(np.searchsorted(ends, p, "right"))
+                if p + n > ends[t] or (p > starts[t] and _INSIDE[b[p - 1]]) or (p + n < ends[t] and _INSIDE[b[p + n]]):
+                    continue
+                for i in items[lo[k] : hi[k]].tolist():
+                    if (b[p : p + n] == ix["texts"][i]).all():
+                        yield t, i, p - int(starts[t]), p + n - int(starts[t])
 
 
 def _bands(b: np.ndarray, ends: np.ndarray, ix: dict):
     """(text, item, band's first diagonal) of every band that reaches its bound; diagonals count from the piece's start."""
-    h = qgrams(b)
-    if not len(h) or not len(ix["h"]):
-        return
-    place = np.flatnonzero(ix["maybe"][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-    at = np.searchsorted(ix["h"], h[place])
-    at[at == len(ix["h"])] = 0
-    place, at = place[ix["h"][at] == h[place]], at[ix["h"][at] == h[place]]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for base, h in _hashes(b, Q) if len(ix["h"]) else ():
+        place = np.flatnonzero(ix["maybe"][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        at = np.searchsorted(ix["h"], h[place])
+        at[at == len(ix["h"])] = 0
+        same = ix["h"][at] == h[place]
+        found.append((base + place[same], at[same]))
+    place, at = (np.concatenate(x) for x in zip(*found, strict=True))
     text = np.searchsorted(ends, place, "right")
     inside = place + Q <= ends[text]
     place, at, text = place[inside], at[inside], text[inside]

@@ -19,18 +19,18 @@ dealt out in blocks of about ``BLOCK`` documents, and a component that fills blo
 compared with itself.  A task gives no more links than join its components, so that the rows grow
 with the documents, while the comparisons grow with the square of such a region.
 
-Candidates are dropped when set sizes or signatures (``EST`` is four standard errors below 0.75; in
+Candidates are dropped when set sizes or signatures (``EST`` is five standard errors below 0.75; in
 the walk from ``NIBBLE`` bits a value) rule a link out.  All others are confirmed on full sets, which
-are computed again from the texts of the documents that have a candidate (found by broadcast up to
-``ASKED_BROADCAST`` ids).
+are computed again from the texts of the documents that have a candidate (found by a hash of id and
+text, broadcast up to ``ASKED_BROADCAST`` of them).
 
 At similarity 0.75 a pair shares no region with probability (1 - 0.75**3)**24, about 2e-6.
-The estimates lose such a pair more often: the walk's with 1.9e-4, the hubs' with 1.0e-4.
+The estimates lose such a pair with 9e-7 in the walk and with 4e-7 at a hub, for independent values.
 
 Documents with equal sets are one node (128-bit fingerprint of the set).  Rows: null or blank text
 has an empty set, links with nothing and is its own component; repeated rows are equal sets; a null
-id takes part but is never the least.  An empty table gives an empty result.  Only the id and text
-columns are read.
+id takes part but is never the least (a component of null ids alone has a null id, and all its rows are
+kept, as equal to it).  An empty table gives an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
 SMALL, NEAR = 8, 16
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-EST = 0.55
+EST = 0.48
 NIBBLE = 4
 SKETCH = HASHES * NIBBLE // 8
 ALIKE = HASHES * (EST + (1 - EST) / 2**NIBBLE)  # equal nibbles at that similarity
@@ -82,7 +82,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, ...) without the text, with set size, fingerprint and signature."""
     for batch in batches:
+        names = [c for c in batch.schema.names if c != "text"]
         for row, sets in S.text_sets(batch.column("text")):
             full = [i for i, s in enumerate(sets) if len(s)]
             sig, fps = [None] * len(sets), [None] * len(sets)
@@ -90,8 +92,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, values in zip(full, signatures([sets[i] for i in full]), strict=True):
                     sig[i], fps[i] = values.tobytes(), fingerprint(sets[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(sig, pa.binary())],
-                ["id", "n", "fp", "sig"],
+                [*[batch.column(c).slice(row, len(sets)) for c in names], pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(sig, pa.binary())],
+                [*names, "n", "fp", "sig"],
             )
 
 
@@ -226,7 +228,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of the asked-for nodes; a row whose set is another's (a repeated id) goes."""
+    """Full sets of the asked-for nodes; a row whose set is another's goes."""
     for batch in batches:
         want = batch.column("fp").to_pylist()
         for row, sets in S.text_sets(batch.column("text")):
@@ -323,10 +325,10 @@ def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
 
 def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
     """(fp, set) of the asked-for nodes, computed again from the texts."""
-    asked = stage.table(nodes.join(asked, "fp", "left_semi").select("fp", "rep"), f"{label}-asked")
+    asked = stage.table(nodes.join(asked, "fp", "left_semi").select("fp", F.col("rep.key").alias("key")), f"{label}-asked")
     if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
         asked = F.broadcast(asked)
-    texts = docs.join(asked, docs["id"].eqNullSafe(F.col("rep"))).select("fp", "text")
+    texts = docs.join(asked, "key").select("fp", "text")
     return stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), f"{label}-sets")
 
 
@@ -365,18 +367,23 @@ def rest_links(large: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataF
     return stage.table(dealt.groupBy("meet").applyInArrow(_linked, "u binary, v binary"), "rest-links")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept, and with ``row`` also rid and first.
+
+    ``row`` names a long that differs between rows; ``first`` marks exactly one row of each component,
+    the first by id (null last) and ``row``, also where ids repeat or are null.
+    """
     spark = df.sparkSession
     stage = Stage(spark, "near")
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stage.table(docs.mapInArrow(_sign, f"id {kind}, n long, fp binary, sig binary"), "signed")
-    first = F.struct(F.col("id").isNull().alias("z"), "id", "sig")
-    nodes = stage.table(
-        signed.where("fp IS NOT NULL").groupBy("fp", "n").agg(F.min(first).alias("x")).select("fp", "n", F.col("x.id").alias("rep"), F.col("x.sig").alias("sig")),
-        "nodes",
-    )
+    rid = F.lit(0).cast("long") if row is None else F.col(f"`{row}`")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), rid.alias("rid"))
+    # By its key a node's text is found again: ids may repeat or be null.
+    docs = docs.withColumn("key", F.xxhash64(F.col("id").isNull(), "id", "text"))
+    signed = stage.table(docs.mapInArrow(_sign, f"id {kind}, rid long, key long, n long, fp binary, sig binary"), "signed")
+    first = F.struct(F.col("id").isNull().alias("z"), "id", "rid", "key", "sig")
+    nodes = signed.where("fp IS NOT NULL").groupBy("fp", "n").agg(F.min(first).alias("x"))
+    nodes = stage.table(nodes.select("fp", "n", F.struct("x.z", "x.id", "x.rid", "x.key").alias("rep"), F.col("x.sig").alias("sig")), "nodes")
     hubs, large = hub_pairs(nodes, stage)
     hubs = confirmed(hubs, nodes, docs, stage, "hub")
     first = stage.table(components(hubs, stage, "first"), "first")
@@ -388,8 +395,17 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = roots.select("u", F.col("root").alias("v")).unionByName(rest)
         roots = stage.table(components(edges, stage, "rest"), "all-roots")
     rooted = stage.table(nodes.select("fp", "rep").join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = stage.table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    ids = stage.table(rooted.join(least, "root").select("fp", "component_id"), "ids")
-    out = signed.select("id", "n", "fp").join(ids, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    least = stage.table(rooted.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    ids = stage.table(rooted.join(least, "root").select("fp", F.col("least.id").alias("least"), F.col("least.rid").alias("least_rid")), "ids")
+    stage.keep("signed", "ids")
+    out = signed.select("id", "rid", "n", "fp").join(ids, "fp", "left")
+    component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("least"))
+    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")]
+    if row is not None:
+        cols += [F.col("rid"), (F.col("fp").isNull() | (F.col("rid") == F.col("least_rid"))).alias("first")]
+    return out.select(*cols)
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept."""
+    return near_groups(df, id_col, text_col)

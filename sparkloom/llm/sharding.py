@@ -8,8 +8,8 @@ and its shard is looked up there.
 The table has ``SLOTS`` rows whatever the data, which bounds the broadcast.
 
 Rows: a null key hashes like any other value and has one fixed shard; repeated keys share a shard;
-an empty table gives an empty result.  Other columns pass through; a column named like an output is
-refused.
+an empty table gives an empty result.  Other columns pass through; where one is named slot or shard (in
+either case), the output's name has an underscore after it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textcols import free_name
+
 SLOTS = 65537
 SHARDS = 64
 
@@ -57,9 +59,9 @@ def shard_names(n: int = SHARDS) -> list[str]:
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """``df`` with the columns slot (int) and shard (string)."""
     shards = shards or shard_names()
-    if clash := {"slot", "shard"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    slot_name, shard_name = free_name(df, "slot"), free_name(df, "shard")
     table = lookup_table(shards, slots)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     places = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "slot int, shard string")
-    slot = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(slots)).cast("int")
-    return df.withColumn("slot", slot).join(F.broadcast(places), "slot").select(*[F.col(f"`{c}`") for c in df.columns], "slot", "shard")
+    slot = F.pmod(F.xxhash64(F.col(f"c{df.columns.index(key)}")), F.lit(slots)).cast("int")
+    return plain.withColumn("slot", slot).join(F.broadcast(places), "slot").select(*plain.columns, "slot", "shard").toDF(*df.columns, slot_name, shard_name)

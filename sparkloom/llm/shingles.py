@@ -3,7 +3,7 @@
 A word is a maximal run of bytes other than space and tab to carriage return, with A-Z lowered.  Its
 64-bit hash comes from differences of one running polynomial sum over the batch, so that a text of
 any length costs a fixed number of passes.  Batches are cut into pieces of about ``PIECE`` bytes to
-bound memory; a longer text is a piece of its own.
+bound memory; a longer text is a piece of its own, whose words are hashed in parts that end at blanks.
 """
 
 from __future__ import annotations
@@ -52,11 +52,28 @@ class _Powers:
 _UP, _DOWN = _Powers(_BASE), _Powers(_BACK)
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and start bytes of all words, and the word offsets of each text.
+def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the word offsets of each text.
 
     ``data`` holds the texts' bytes one after another; ``ends`` their end offsets.
     """
+    if len(ends) > 1 or len(data) <= PIECE:
+        h, _, offsets = _words(data, ends)
+        return h, offsets
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = lo + PIECE
+        while hi < len(data) and not _SPACE[data[hi]]:  # the next blank, looked for in steps
+            blank = np.flatnonzero(_SPACE[data[hi : hi + PIECE]])
+            hi = hi + int(blank[0]) if len(blank) else min(len(data), hi + PIECE)
+        part = data[lo:hi]
+        parts.append(_words(part, np.array([len(part)]))[0])
+        lo = hi
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(ends) + 1, np.int64)
@@ -115,5 +132,5 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.nd
 def text_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, shingle sets of the rows from there on), piece by piece."""
     for row, _, data, ends in pieces(texts):
-        h, _, offsets = words(data, ends)
+        h, offsets = words(data, ends)
         yield row, shingle_sets(h, offsets, width)

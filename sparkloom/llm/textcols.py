@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The blanks of every contract here: space and the five ASCII controls from tab to carriage return.
@@ -29,3 +29,11 @@ def text_or_empty(name: str) -> Column:
 def unit(*parts: Column) -> Column:
     """A uniform double in [0, 1) that depends on ``parts`` only."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it while ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .scratch import Stage
+from .textcols import free_name
 
 ORDER, SHARED = 6, 4
 DISCOUNT = 0.75
@@ -83,6 +84,15 @@ def _packed(b: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _parts(b: np.ndarray, at: np.ndarray, n: int):
+    """(first, end, the integers of the n bytes that end at those places), PIECE places at a time: a text of
+    any length needs few bytes of memory for each of its own."""
+    for lo in range(0, len(at), PIECE):
+        a = at[lo : lo + PIECE]
+        base = int(a[0]) - n + 1
+        yield lo, lo + len(a), _packed(b[base : int(a[-1]) + 1], n)[a - base]
+
+
 def _home(keys: np.ndarray, bits: int) -> np.ndarray:
     return (S.mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
 
@@ -139,9 +149,10 @@ def _count_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(data):
                 continue
             b, at, text = _padded(data, ends)
-            held.append(np.unique(_packed(b, ORDER)[at] | (label[row:end][text] << (8 * ORDER)), return_counts=True))
-            if len(held) > HELD:
-                held = [_merged(held)]
+            for lo, hi, seq in _parts(b, at, ORDER):
+                held.append(np.unique(seq | (label[row:end][text[lo:hi]] << (8 * ORDER)), return_counts=True))
+                if len(held) > HELD:
+                    held = [_merged(held)]
     if held:
         keys, n = _merged(held)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
@@ -155,9 +166,10 @@ def _shared_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(data):
                 continue
             b, at, _ = _padded(data, ends)
-            held.append(np.unique(_packed(b, SHARED + 1)[at]))
-            if len(held) > HELD:
-                held = [np.unique(np.concatenate(held))]
+            for _, _, seq in _parts(b, at, SHARED + 1):
+                held.append(np.unique(seq))
+                if len(held) > HELD:
+                    held = [np.unique(np.concatenate(held))]
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["seq"])
 
@@ -180,16 +192,10 @@ class Model:
         out = np.zeros((len(ends), 3))
         if not len(data):
             return out
-        t = self.made
         b, at, text = _padded(data, ends)
-        seq = _packed(b, ORDER)[at]
-        rows = lambda name, keys: _find(t[name], keys).view(np.float32).reshape(len(at), -1)
-        share = rows("shared_ctx", (seq >> 8) & _mask(SHARED - 1))
-        low = _find(t["shared"], seq & _mask(SHARED)) * share[:, 0] + share[:, 1] * t["one"].take(b[at])
-        ctx = rows("ctx", seq >> 8)
-        own = rows("own", seq)
-        p = [own[:, y] * ctx[:, 2 * y] + ctx[:, 2 * y + 1] * low + np.float32(1e-12) for y in (0, 1)]
-        diff = np.log(p[1] / p[0]).astype(np.float64)
+        diff = np.empty(len(at), np.float64)
+        for lo, hi, seq in _parts(b, at, ORDER):
+            diff[lo:hi] = self._differences(seq, b[at[lo:hi]])
         lens = np.diff(np.concatenate([[0], ends]))
         out[:, 0] = np.bincount(text, diff, len(ends)) / np.maximum(lens, 1)
         blank = S._SPACE[data]
@@ -210,6 +216,17 @@ class Model:
                 out[i, 2] = np.log(k)
         return out
 
+    def _differences(self, seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The log-likelihoods' difference of each place, of its last ORDER bytes."""
+        t = self.made
+        rows = lambda name, keys: _find(t[name], keys).view(np.float32).reshape(len(seq), -1)
+        share = rows("shared_ctx", (seq >> 8) & _mask(SHARED - 1))
+        low = _find(t["shared"], seq & _mask(SHARED)) * share[:, 0] + share[:, 1] * t["one"].take(last)
+        ctx = rows("ctx", seq >> 8)
+        own = rows("own", seq)
+        p = [own[:, y] * ctx[:, 2 * y] + ctx[:, 2 * y + 1] * low + np.float32(1e-12) for y in (0, 1)]
+        return np.log(p[1] / p[0]).astype(np.float64)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(x))
@@ -312,9 +329,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score appended; rows stream through once, without a shuffle."""
-    if out in docs.columns or "_score" in docs.columns:
-        raise ValueError(f"column in the way: {out} or _score")
+    """``docs`` with the score appended; rows stream through once, without a shuffle.
+
+    The score's name has underscores after it where ``docs`` has a column named ``out``.
+    """
+    out = free_name(docs, out)
     bc = docs.sparkSession.sparkContext.broadcast(vars(model))
     names = [f"c{i}" if c != text_col else "text" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)

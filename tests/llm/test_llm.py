@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -209,6 +211,51 @@ def test_near_components(spark):
         assert got[(i, len(s))] == (min(group) if group else None)
 
 
+def test_near_rows_without_ids(spark):
+    """Null and repeated ids: texts are found by their own hash, and one row of each component is first."""
+    r, rows = random.Random(15), []
+    for g in range(8):
+        w = prose(80, 300 + g).split()
+        for k in range(5):
+            v = list(w)
+            v[r.randrange(80)] = f"other{r.randrange(10**6)}"
+            rows += [(None if k % 2 else 7, " ".join(v), "a")] * (1 + k % 3)
+    df = docs(spark, rows + EDGE).coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    got = near_dedup.near_groups(df, row="at").collect()
+    text = [t for _, t, _ in rows + EDGE]
+    assert sorted(x["rid"] for x in got) == list(range(len(text)))
+    firsts = [x for x in got if x["first"] and x["rid"] < len(rows)]
+    assert len(firsts) == 8 and {text[x["rid"]].split()[-1] for x in firsts} <= {text[i].split()[-1] for i in range(len(rows))}
+    assert all(x["component_id"] == 7 and x["kept"] == (x["doc_id"] == 7) for x in got if x["rid"] < len(rows))
+    edge = {x["rid"] - len(rows): (x["component_id"], x["kept"], x["first"]) for x in got if x["rid"] >= len(rows)}
+    assert edge == {0: (1, True, True), 1: (2, True, True), 2: (3, True, True), 3: (4, True, True), 4: (4, True, False), 5: (5, True, True), 6: (6, True, True), 7: (None, True, True)}
+    assert near_dedup.near_components(docs(spark, EDGE).limit(0)).count() == 0
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    """What is worked on in parts gives what the whole gives."""
+    import numpy as np
+
+    from sparkloom.llm import shingles
+
+    text = np.frombuffer((" \n" + prose(3000, 8) + "x" * 900 + " é  " + prose(10, 9)).encode(), np.uint8)
+    ends = np.array([len(text)])
+    bench = [(1, prose(30, 61)), (2, "one"), (3, prose(40, 62))]
+    body, stop = decontam.normal(np.frombuffer((prose(500, 63) + " " + bench[0][1] + " One " + prose(90, 64) + edited(bench[2][1], 0.05, random.Random(1))).lower().encode(), np.uint8), np.array([0]))
+    stop = np.array([len(body)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    train = docs(spark, [(i, prose(30, i), "a") for i in range(60)])
+
+    def results():
+        model = toxicity.train(train, labels)
+        return shingles.words(text, ends)[0].tolist(), decontam.search(body, stop, decontam.index(bench)), model.evidence(text, ends).tolist(), sorted(map(tuple, model.curve[0].reshape(1, -1).round(9).tolist()))
+
+    whole = results()
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    assert results() == whole and len(whole[1]) == 3
+
+
 def test_near_components_of_large_regions(spark):
     """Texts that drift from one passage: regions of hundreds, where a text's only link may be to any of them."""
     import numpy as np
@@ -333,14 +380,38 @@ def test_decontam_recall(spark, rate, least):
     assert got <= {(i, i) for i in range(60)} and len(got) >= least * 60
 
 
+def shard_table_by_hand(names, slots):
+    """Turns by definition: whole preference lists, and a set of the slots that are free."""
+    lists = []
+    for n in names:
+        d = hashlib.sha256(n.encode()).digest()
+        first, skip = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        lists.append(iter([(first + j * skip) % slots for j in range(slots)]))
+    table, free = {}, set(range(slots))
+    while free:
+        for k, prefer in enumerate(lists):
+            if free:
+                slot = next(x for x in prefer if x in free)
+                table[slot] = k
+                free.discard(slot)
+    return [table[i] for i in range(slots)]
+
+
 def test_sharding(spark):
     t = sharding.lookup_table(sharding.shard_names(10), 1009)
+    assert t == shard_table_by_hand(sharding.shard_names(10), 1009)
     sizes = [t.count(i) for i in range(10)]
     assert max(sizes) - min(sizes) <= 1
     fewer = sharding.lookup_table(sharding.shard_names(9), 1009)
     assert sum(a != b for a, b in zip(t, fewer, strict=True) if a < 9) < 0.25 * 1009
-    got = sharding.assign_shards(docs(spark, EDGE)).collect()
-    assert len(got) == len(EDGE) and len({r["shard"] for r in got if r["doc_id"] == 4}) == 1
+    rows = EDGE + [(10**18 + i, "t", "a") for i in range(50)] + [(-3, "t", "a")]
+    whole = shard_table_by_hand(sharding.shard_names(), sharding.SLOTS)
+    got = sharding.assign_shards(docs(spark, rows).withColumn("Slot", F.lit("mine")).withColumn("shard", F.lit(5))).collect()
+    assert len(got) == len(rows) and {(r["Slot"], r["shard"]) for r in got} == {("mine", 5)}
+    for r in got:
+        key = 42 if r["doc_id"] is None else xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), seed=42)
+        assert r["slot_"] == (key if key < 2**63 else key - 2**64) % sharding.SLOTS and r["shard_"] == f"shard-{whole[r['slot_']]:05d}"
+    assert sharding.assign_shards(docs(spark, EDGE).limit(0)).count() == 0
 
 
 def warc_by_hand(rows, least=0):
