@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of ``documents``.
+
+Rows: decisions belong to rows, not to ids: rows are numbered for a stage, so that null and repeated ids
+go through like any others.  Null and empty texts are scored like a text without evidence, are near no
+other, hold no passage, and are mixed by whole copies.  Of repeated rows one stays.  Empty tables give
+empty results.  Further columns pass through under any name; the last stage's own columns have an
+underscore after their name where it is taken.
 """
 
 from __future__ import annotations
@@ -11,22 +17,31 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, toxicity
 from sparkloom.llm.mixing import mix
-from sparkloom.llm.near_dedup import near_components
+from sparkloom.llm.near_dedup import near_groups
 from sparkloom.llm.scratch import Stage
 from sparkloom.llm.sharding import assign_shards
+from sparkloom.llm.textcols import free_name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, the same whenever this table is read, and that column's name."""
+    row = free_name(docs, "row_number_")
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models predict toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="toxic_score").where(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score")
+    score = free_name(docs, "toxic_score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group of near-duplicates stays."""
-    found = near_components(docs).groupBy(F.col("doc_id").alias("kid")).agg(F.max(F.col("kept").cast("int")).alias("kept"))
-    gone = Stage(spark, "gone").table(found.where("kept = 0").select("kid"), "ids")
-    return docs.join(gone, docs["doc_id"] == gone["kid"], "left_anti")
+    """One row of each group of near-duplicates stays, that with the least id (null last)."""
+    rows, row = _numbered(docs)
+    found = near_groups(rows, row=row)
+    gone = Stage(spark, "gone").table(found.where("NOT first").select(F.col("rid").alias(row)), "rows")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +50,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("mid")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    copies = Stage(spark, "copies").table(copies, "copies")
-    rows = docs.join(copies.hint("merge"), docs["doc_id"] == copies["mid"])  # both sides grow alike
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Every row as often as the mix takes it."""
+    rows, row = _numbered(docs)
+    times = free_name(docs, "times")
+    taken = mix(rows, row=row).where("copies > 0").select(F.col("rid").alias(row), F.col("copies").cast("int").alias(times))
+    taken = Stage(spark, "copies").table(taken, "copies")
+    rows = rows.join(taken.hint("merge"), row)  # both sides grow alike
+    return rows.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
