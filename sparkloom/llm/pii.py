@@ -54,6 +54,7 @@ SSN_RE = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 PRIOR = [0.9, 0.6, 0.7, 0.6, 0.8, 0.3]
 CONTEXT_BONUS, CONTEXT_CHARS, THRESHOLD = 0.3, 40, 0.5
+PART = 256
 CONTEXT_WORDS = [
     "mail|contact|write to",
     "ip|address|host|server",
@@ -91,10 +92,22 @@ def _valid_ip(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda q: F.when(F.length(q) <= 3, F.coalesce(F.try_to_number(q, F.lit("999")), F.lit(0)) <= 255).otherwise(False)))
 
 
-def _score(text: Column, x: Column) -> Column:
+def _parts(text: Column) -> Column:
+    """The text in parts of PART characters: a place deep in a long text is then found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def _cut(parts: Column, start: Column, length: Column) -> Column:
+    """At most PART characters from ``start`` (from 0) on."""
+    k = F.floor(start / PART).cast("int")
+    two = F.concat(F.coalesce(F.get(parts, k), F.lit("")), F.coalesce(F.get(parts, k + 1), F.lit("")))
+    return F.substring(two, start - k * PART + 1, length)
+
+
+def _score(parts: Column, x: Column) -> Column:
     def near(words: str) -> Column:
         lo = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-        around = F.concat(F.substring(text, lo + 1, x["s"] - lo), F.lit(" "), F.substring(text, x["e"] + 1, F.lit(CONTEXT_CHARS)))
+        around = F.concat(_cut(parts, lo, x["s"] - lo), F.lit(" "), _cut(parts, x["e"], F.lit(CONTEXT_CHARS)))
         return F.rlike(around, F.lit(rf"(?i)(?<![a-z])(?:{words})(?![a-z])"))
 
     score = F.lit(None).cast("double")
@@ -122,11 +135,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per input row: id and ``spans``, an array of (start, kind, end, text, score)."""
     text = text_or_empty(text_col)
     found = df.select(F.col(id_col).alias("id"), text.alias("text"), pii_spans(text).alias("found"))
-    scored = F.transform(
-        "found",
-        lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), _score(F.col("text"), x).alias("score")),
-    )
-    kept = F.filter(scored, lambda x: (x["k"] <= PHONE) | (x["score"] >= THRESHOLD))
+    score = lambda parts: F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), _score(parts, x).alias("score")))
+    kept = F.filter(let(_parts(F.col("text")), score), lambda x: (x["k"] <= PHONE) | (x["score"] >= THRESHOLD))
     return found.select(F.col("id").alias(id_col), F.array_sort(F.when(F.size("found") > 0, kept).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string,score:double>>"))).alias("spans"))
 
 

@@ -4,7 +4,8 @@ Base kinds, in this order: assign, access, hex; their matches always stay.  Furt
 ``random`` are maximal runs of at least ``MIN_TOKEN`` characters of the base64 alphabets that look
 drawn at random.  Each run's encoding is inferred (decimal, hex, base32, base36, base62, base64),
 then three tests of uniform independent symbols are made: chi-squared over ``CELLS`` equal classes
-of the alphabet, runs above and below its middle, and lag-1 serial correlation.
+of the alphabet, runs above and below its middle, and lag-1 serial correlation.  A run of decimal digits is
+never reported: numbers that people give to things are as uniform as secrets.
 
 False discovery: here a discovery is a run declared a secret, so the null is written language.
 Bonferroni's combination x of a run's three p-values is uniform for a random run; for language it
@@ -144,7 +145,7 @@ def randomness_p(token: Column) -> Column:
         return F.least(F.lit(1.0), F.lit(3.0) * F.least(chi_squared_p(x["r"], x["n"]), runs_p(x["r"], x["n"]), serial_p(x["r"])))
 
     enc = encoding_of(token)
-    return let(enc, lambda e: F.when(e.isNull(), 0.0).otherwise(let(F.struct(_ranks(token, e).alias("r"), _size_of(e).alias("n")), on)))
+    return let(enc, lambda e: F.when(e.isNull() | (e == "decimal"), 0.0).otherwise(let(F.struct(_ranks(token, e).alias("r"), _size_of(e).alias("n")), on)))
 
 
 def language_p(token: Column) -> Column:

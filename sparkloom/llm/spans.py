@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import folds
+
 SPAN = "struct<s:int,k:int,e:int,m:string>"
 
 
@@ -19,18 +21,15 @@ def find(text: Column, pattern: str, kind: int, needs: str | None = None) -> Col
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needs is not None:
         hits = F.when(F.contains(text, F.lit(needs)), hits).otherwise(F.array().cast("array<string>"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["m"].alias("m")))
 
     def located(ms: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms))
-        zipped = F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.aggregate(zipped, zero, step, lambda a: a["out"])
+        return folds.scan(F.zip_with(gaps, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), SPAN, F.lit(0), step)
 
     found = F.get(
         F.transform(F.array(hits), lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(F.array().cast(f"array<{SPAN}>"))), F.lit(0)

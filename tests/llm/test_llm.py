@@ -114,6 +114,27 @@ def test_secrets_among_many(spark):
     assert short not in got[3] and long in got[4]
 
 
+def test_secrets_leave_language_alone(spark):
+    """Numbers, words, paths, slugs and names of code are no secrets; random tokens of every encoding are."""
+    r = random.Random(12)
+    clean = ["order 12345678901234567890 shipped", "tracking 940011189922385714366121", "card 4111111111111111111111", "the-quick-brown-fox-jumps-over-the-lazy-dog", "src/main/java/org/example/service/AccountServiceImpl", "AbstractSingletonProxyFactoryBeanGenerator",
+             "donaudampfschifffahrtsgesellschaftskapitaen", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA", "abcabcabcabcabcabcabcabcabcabcabc", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij", "https-www-example-com-2024-01-31-some-article-title"]
+    rows = [(i, t, "a") for i, t in enumerate(clean)]
+    for k, alphabet in enumerate(("0123456789abcdefghijklmnopqrstuvwxyz", *list(secrets.ALPHABETS.values())[5:])):
+        rows += [(1000 * (k + 1) + i, "key " + "".join(r.choices(alphabet, k=44)) + " end", "a") for i in range(40)]
+    got = {x["doc_id"]: [s["m"] for s in x["spans"] if s["k"] == secrets.RANDOM] for x in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert {i: got[i] for i in range(len(clean)) if got[i]} == {}
+    for k in range(1, 1 + (len(rows) - len(clean)) // 40):
+        assert sum(bool(got[1000 * k + i]) for i in range(40)) >= 36
+
+
+def test_many_spans(spark):
+    """A text of many thousand matches, in order and at their places."""
+    text = "é a.b@c.de 10.0.0.1 " * 20000
+    x = pii.pii_digest(pii.find_pii(docs(spark, [(1, text, "a")]))).first()
+    assert (x["n_email"], x["n_ip"]) == (20000, 20000) and x["spans"].startswith("email:2:10,ip:11:19,email:22:30") and x["spans"].endswith(f"ip:{19999 * 20 + 11}:{19999 * 20 + 19}")
+
+
 def levels_by_hand(sizes, share=1.5, most=2.0):
     """{source: target}: weights 3, 1, 2 by code point, null last; the excess is shared again until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
