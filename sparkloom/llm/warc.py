@@ -11,7 +11,7 @@ Of records with equal payloads of at least ``least`` bytes the one with the smal
 response and the others are revisit records without payload that name it.  Every payload has exactly
 one response, whatever ids its rows have: rows are told apart by payload, id and url.
 
-A payload is shuffled for its response only; revisits are written from their ids, urls and digests.
+A payload leaves a task once, for its response; revisits are written from their ids, urls and digests.
 Files are named by kind, task and number, rows are sorted within tasks, and a file appears by rename:
 a task that runs again writes the same files.  A file closes after ``ROLL`` bytes.
 
@@ -159,8 +159,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     hashed = rows.select("id", "url", "place", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("same"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     what = ["id", "url", "place", "size", "same", "digest"]
     seen = stage.table(hashed.groupBy(*what).agg(F.count(F.lit(1)).alias("n")), "seen")
-    rank = F.struct(F.col("id").isNull().alias("z"), "id", F.col("url").isNull().alias("y"), "url", "place", "size", "digest")
-    best = stage.table(seen.where(F.col("size") >= least).groupBy("same").agg(F.min(rank).alias("x")).select("same", "x.id", "x.url", "x.place", "x.size", "x.digest"), "best")
+    rank = F.struct(F.col("id").isNull().alias("z"), "id", F.col("url").isNull().alias("y"), "url")
+    best = stage.table(seen.where(F.col("size") >= least).groupBy("same").agg(F.min(F.struct(rank.alias("r"), "place", "size", "digest")).alias("x")).select("same", "x.r.id", "x.r.url", "x.place", "x.size", "x.digest"), "best")
     small = seen.where(F.col("size") < least)
     # Every other row of a payload, equal ones counted, is a revisit; it needs no payload.
     named = best.select("same", F.col("id").alias("first"), F.col("url").alias("first_url"))
@@ -170,16 +170,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     words = spark.sparkContext.broadcast(train_dictionary(_sample(rows, best.unionByName(small.select(*best.columns)))))
     target = _local(folder)
     out = "file string, records long, bytes long"
-    whole = rows.withColumn("same", F.sha2("html", 256))
-    alone = lambda key: whole.join(key.select("place", "same", "size", "digest"), ["place", "same"])
     order = ["id", "url", "same"]
-    payload = ["id", "url", "html", "digest", "size", "same"]
-    once, again = (best.join(seen.where(f"n {x} 1").select("same", "place"), ["same", "place"], "left_semi") for x in ("=", ">"))
-    single = alone(once).select(*payload)
-    several = alone(again).groupBy("same").agg(*[F.first(c).alias(c) for c in ("id", "url", "html", "digest", "size")]).select(*payload)
-    found = single.unionByName(several)
+    # Of each payload one leaves a task, whatever number of rows has it there.
+    whole = rows.select(rank.alias("r"), "html", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("same"))
+    found = whole.where(F.col("size") >= least).groupBy("same").agg(F.min("r").alias("r"), F.first("html").alias("html"), F.first("size").alias("size"))
     if least:
-        found = found.unionByName(alone(small).select(*payload))
+        found = found.unionByName(whole.where(F.col("size") < least))
+    found = found.select("r.id", "r.url", "html", F.sha1(F.col("html").cast("binary")).alias("digest"), "size", "same")
     none = F.lit(None)
     responses = found.withColumn("first", none.cast(pages.schema[id_col].dataType)).sortWithinPartitions(*order)
     revisits = others.withColumn("html", none.cast("string")).sortWithinPartitions(*order)
