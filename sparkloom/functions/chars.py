@@ -26,12 +26,16 @@ class ScriptProfile:
     letters: str
     breakers: str
     paragraph: str
+    prose: str  # punctuation that tells prose from menus
     min_chars: int = 20
     min_fraction: float = 0.5
 
 
-HAN = ScriptProfile(CJK, "。！？；…!?;，、：,:", r"\n{2,}")
-LATIN = ScriptProfile(r"\p{L}", ".!?;:,", r"\n")
+# Sentence breakers and prose punctuation of the source format.
+HAN = ScriptProfile(CJK, "。！？；…!?;，、：,:", r"\n{2,}|\r\n\r\n", "。！？，；：")
+LATIN = ScriptProfile(r"\p{L}", ".!?;:,", r"\n", ".!?;:,")
+# The ideographs that are shown with a reading (no supplementary planes).
+SHOWN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 
 def trim(c: Column) -> Column:
@@ -42,12 +46,22 @@ def squeeze(c: Column) -> Column:
     return trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
+def count_class(c: Column, chars: str) -> Column:
+    """Characters of a class, counted by what is left without them: nothing is built for each one."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))
+
+
+def count_text(c: Column, text: str) -> Column:
+    """Occurrences of a text that does not overlap itself."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(text), F.lit("")))) / len(text)).cast("int")
+
+
 def script_count(c: Column, p: ScriptProfile = HAN) -> Column:
-    return F.regexp_count(c, F.lit(f"[{p.letters}]"))
+    return count_class(c, p.letters)
 
 
 def script_fraction(c: Column, p: ScriptProfile = HAN) -> Column:
-    letters = F.regexp_count(c, F.lit(rf"[\p{{L}}{p.letters}]"))
+    letters = script_count(c, p) if p.letters == r"\p{L}" else count_class(c, rf"\p{{L}}{p.letters}")
     return F.when(letters > 0, script_count(c, p) / letters).otherwise(0.0)
 
 
@@ -61,13 +75,18 @@ def only_script(c: Column, p: ScriptProfile = HAN) -> Column:
 
 def digit_density(c: Column) -> Column:
     n = F.length(c)
-    return F.when(n > 0, (F.regexp_count(c, F.lit("[0-9]")) + F.regexp_count(c, F.lit("%|百分"))) / n).otherwise(0.0)
+    return F.when(n > 0, (count_class(c, "0-9") + count_text(c, "%") + count_text(c, "百分")) / n).otherwise(0.0)
 
 
 def has_digits(c: Column) -> Column:
     return F.rlike(c, F.lit("[0-9]"))
 
 
+def is_shown_with_reading(c: Column) -> Column:
+    """Whether a character is one of those that get a reading above them."""
+    return F.rlike(c, F.lit(f"[{SHOWN}]"))
+
+
 def news_score(title: Column, body: Column) -> Column:
     t = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
     news = F.regexp_count(t, F.lit("|".join(NEWS_WORDS)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chars import CJK, HAN, SPACE, ScriptProfile, script_count, squeeze, trim
+from .folds import let, scan
 
 # Fixed values, in their order: entities and their text; the ampersand goes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -33,11 +34,11 @@ def decode_entities(c: Column) -> Column:
 
 
 def _no_cdata(c: Column) -> Column:
-    return F.regexp_replace(c, r"<!\[CDATA\[|\]\]>", "")
+    return F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
 
 
 def _no_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"<[^>]*>", " ")
+    return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -67,12 +68,18 @@ def container_body(c: Column, css_class: str = "itemFullText") -> Column:
     return _paragraphs(F.regexp_replace(inner, r"(?s)\s*(?:編輯|記者)\s*[:：].*\z", ""))
 
 
+# What every boilerplate paragraph holds: a character beyond Latin, or one of the Latin words.
+_MAYBE_JUNK = r"[\x{2E80}-\x{10FFFF}]|(?i:cookie|all rights reserved)"
+_JUNK = "|".join(f"(?:{j})" for j in JUNK)
+
+
 def is_junk(p: Column) -> Column:
-    t = trim(p)
-    out = t == ""
-    for j in JUNK:
-        out = out | F.rlike(t, F.lit(j))
-    return out
+    return let(trim(p), lambda t: (t == "") | (F.rlike(t, F.lit(_MAYBE_JUNK)) & F.rlike(t, F.lit(_JUNK))))
+
+
+def item_body(description: Column) -> Column:
+    """The text of a feed item: its description, without the title."""
+    return trim(F.coalesce(description, F.lit("")))
 
 
 def strip_junk(body: Column) -> Column:
@@ -94,16 +101,31 @@ def page_paragraphs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: squeeze(decode_entities(_no_tags(p))))
 
 
+def utf16_length(c: Column) -> Column:
+    """Length in the units of the source format, two for a character beyond the basic plane."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))
+
+
+def article_paragraphs(html: Column, p: ScriptProfile = HAN, min_chars: int = 12, max_chars: int = 1600) -> Column:
+    """``array<string>`` of prose paragraphs, up to the one whose length takes their sum past ``max_chars``."""
+
+    def measured(x: Column) -> Column:
+        return F.struct(x.alias("x"), script_count(x, p).alias("n"), utf16_length(x).alias("u"))
+
+    def is_prose(m: Column) -> Column:
+        return (m["n"] >= min_chars) & (m["n"] >= m["u"] * 0.4) & F.rlike(m["x"], F.lit(f"[{p.prose}]")) & (script_gaps(m["x"]) < 3) & ~is_junk(m["x"])
+
+    def step(seen: Column, m: Column) -> tuple[Column, Column]:
+        none = F.array().cast("array<string>")
+        return F.when(seen > max_chars, seen).otherwise(seen + m["u"]), F.when(seen > max_chars, none).otherwise(F.array(m["x"]))
+
+    prose = F.filter(F.transform(page_paragraphs(html), measured), is_prose)
+    return scan(prose, "string", F.lit(0), step)
+
+
 def article_body(html: Column, p: ScriptProfile = HAN, min_chars: int = 12, max_chars: int = 1600) -> Column:
-    """Prose paragraphs joined by blank lines, up to the one that passes ``max_chars``."""
-    units = lambda x: (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
-    prose = F.filter(
-        page_paragraphs(html),
-        lambda x: (script_count(x, p) >= min_chars) & (script_count(x, p) >= units(x) * 0.4) & F.rlike(x, F.lit(f"[{p.breakers}]")) & (script_gaps(x) < 3) & ~is_junk(x),
-    )
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    kept = F.aggregate(prose, start, lambda a, x: F.when(a["n"] > max_chars, a).otherwise(F.struct((a["n"] + units(x)).alias("n"), F.concat(a["out"], F.array(x)).alias("out"))))
-    return F.array_join(kept["out"], "\n\n")
+    """The paragraphs joined by blank lines."""
+    return F.array_join(article_paragraphs(html, p, min_chars, max_chars), "\n\n")
 
 
 def normalize_digits(c: Column) -> Column:
@@ -117,10 +139,17 @@ def toneless(c: Column) -> Column:
 
 
 def strict_json(c: Column) -> Column:
-    """The outermost braces of a reply, inside its fence if it has one; null without braces."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    found = F.regexp_extract(F.when(fenced != "", fenced).otherwise(c), r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+    """The text of a reply's JSON: inside its fence if it has one, from the first to the last brace."""
+    fenced = F.regexp_extract(c, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    inside = F.when(F.rlike(c, F.lit(r"(?is)```(?:json)?\s*.*?\s*```")), fenced).otherwise(c)
+    found = F.regexp_extract(inside, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found).otherwise(trim(inside))
+
+
+def parse_reply(c: Column, schema: str) -> Column:
+    """The reply as a struct of ``schema``, null where it is no JSON object."""
+    text = strict_json(c)
+    return F.when(F.try_parse_json(text).isNotNull() & F.startswith(text, F.lit("{")), F.from_json(text, schema))
 
 
 def hostname(url: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import let, scan
+
 # A starter table.  A caller's table may hold hundreds of keys; a key that maps to
 # itself protects a word from shorter rules.
 STARTER = {
@@ -15,10 +17,38 @@ STARTER = {
 }
 
 
+SEGMENT = "struct<f:string,c:string>"
+#: The kinds of a table's rows, from the weakest: of equal keys the last kind wins.
+KINDS = ["char", "phrase", "protect"]
+MOST_RULES = 10_000
+
+
+def load_rules(table: DataFrame) -> dict[str, str]:
+    """Rules from a landed table (k, v, kind): a protected key maps to itself, later kinds win.
+
+    The table becomes part of the plan, so its size is checked.
+    """
+    rows = table.where("k <> ''").select("k", "v", "kind").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    out: dict[str, str] = {}
+    for kind in KINDS:
+        out |= {r["k"]: r["k"] if kind == "protect" else r["v"] or "" for r in sorted(rows, key=lambda r: r["k"]) if r["kind"] == kind}
+    return out
+
+
+def keys_longest_first(rules: dict[str, str]) -> list[str]:
+    return sorted(rules, key=lambda k: (-len(k), k))
+
+
+def token_pattern(rules: dict[str, str]) -> str:
+    """Quotations, keys from the longest, single characters; the first that fits is the token."""
+    return "「[^」]*」?|《[^》]*》?|『[^』]*』?|" + "|".join(map(re.escape, keys_longest_first(rules))) + "|[\\s\\S]"
+
+
 def segments(text: Column, rules: dict[str, str] = STARTER) -> Column:
     """``array<struct<f,c>>``: quotations stay, else the longest rule, else one character."""
-    keys = sorted(rules, key=lambda k: (-len(k), k))
-    token = "「[^」]*」?|《[^》]*》?|『[^』]*』?|" + "|".join(map(re.escape, keys)) + "|[\\s\\S]"
+    keys = keys_longest_first(rules)
     table = F.create_map(*[F.lit(x) for k in keys for x in (k, rules[k])])
 
     def rewrite(ts: Column) -> Column:
@@ -30,14 +60,13 @@ def segments(text: Column, rules: dict[str, str] = STARTER) -> Column:
 
         return F.transform(ts, one)
 
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = F.when(F.size(acc) > 0, (last["f"] == last["c"]) & (x["f"] == x["c"])).otherwise(False)
-        joined = F.struct(F.concat(last["f"], x["f"]).alias("f"), F.concat(last["c"], x["c"]).alias("c"))
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+    def step(run: Column, x: Column) -> tuple[Column, Column]:
+        same = F.coalesce((run["f"] == run["c"]) & (x["f"] == x["c"]), F.lit(False))
+        joined = F.struct(F.concat(run["f"], x["f"]).alias("f"), F.concat(run["c"], x["c"]).alias("c"))
+        return F.when(same, joined).otherwise(x), F.when(same | run.isNull(), F.array().cast(f"array<{SEGMENT}>")).otherwise(F.array(run))
 
-    parts = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(token), F.lit(0))), rewrite), F.lit(0))
-    return F.aggregate(parts, F.array().cast("array<struct<f:string,c:string>>"), fold)
+    parts = let(F.regexp_extract_all(text, F.lit(token_pattern(rules)), F.lit(0)), rewrite)
+    return scan(parts, SEGMENT, F.lit(None).cast(SEGMENT), step, lambda run: F.array(run))
 
 
 def rewrite(text: Column, rules: dict[str, str] = STARTER) -> Column:
@@ -45,7 +74,11 @@ def rewrite(text: Column, rules: dict[str, str] = STARTER) -> Column:
 
 
 def valid_pairs(pairs: Column, f: Column, c: Column) -> Column:
-    """The pairs without empty ones if they join to both texts, else null."""
+    """The pairs without empty ones if there are any and they join to both texts, else null."""
     full = F.filter(F.transform(pairs, lambda p: F.struct(F.coalesce(p["f"], F.lit("")).alias("f"), F.coalesce(p["c"], F.lit("")).alias("c"))), lambda p: (p["f"] != "") | (p["c"] != ""))
-    ok = (F.array_join(F.transform(full, lambda p: p["f"]), "") == f) & (F.array_join(F.transform(full, lambda p: p["c"]), "") == c)
+    ok = (F.size(full) > 0) & (F.array_join(F.transform(full, lambda p: p["f"]), "") == f) & (F.array_join(F.transform(full, lambda p: p["c"]), "") == c)
     return F.when(ok, full)
+
+
+def is_changed(formal: Column, colloquial: Column) -> Column:
+    return ~formal.eqNullSafe(colloquial)
