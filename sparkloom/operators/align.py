@@ -59,46 +59,83 @@ def align(f: str | None, c: str | None) -> list[dict] | None:
     return [{"f": x, "c": y} for _, x, y in runs]
 
 
-def match_places(a: str, b: str) -> list[int]:
-    """For each character of ``a`` the place in ``b`` it meets on a least-edit path, or -1."""
+def _edit_rows(a: str, b: str) -> np.ndarray:
+    """The edit distances of all prefixes, a row at a time."""
+    y, step = np.array(list(b)), np.arange(len(b) + 1, dtype=np.int32)
     d = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    d[0], d[:, 0] = np.arange(len(b) + 1), np.arange(len(a) + 1)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
-    out, i, j = [-1] * len(a), len(a), len(b)
-    while i and j:
-        if d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+    d[0] = step
+    for i, ch in enumerate(a, 1):
+        new = np.append(np.int32(i), np.minimum(d[i - 1, :-1] + (y != ch), d[i - 1, 1:] + 1)) if len(b) else np.array([i], np.int32)
+        d[i] = np.minimum.accumulate(new - step) + step
+    return d
+
+
+def align_sequences(a: str | None, b: str | None) -> list[dict]:
+    """A least-edit path as (ai, bj, match) in order, -1 for a side that has no character there.
+
+    Looking back from the end a replaced or equal pair comes first, then a lost character, then an added one.
+    """
+    a, b = a or "", b or ""
+    d, i, j, out = _edit_rows(a, b), len(a), len(b), []
+    while i or j:
+        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
-            out[i] = j
-        elif d[i, j] == d[i - 1, j] + 1:
+            out.append({"ai": i, "bj": j, "match": a[i] == b[j]})
+        elif i and (not j or d[i, j] == d[i - 1, j] + 1):
             i -= 1
+            out.append({"ai": i, "bj": -1, "match": False})
         else:
             j -= 1
-    return out
+            out.append({"ai": -1, "bj": j, "match": False})
+    return out[::-1]
+
+
+def match_places(a: str, b: str) -> list[int]:
+    """For each character of ``a`` the place in ``b`` it meets on a least-edit path, or -1."""
+    return [p["bj"] for p in align_sequences(a, b) if p["ai"] >= 0]
 
 
 align_pairs = F.udf(align, _PAIRS, useArrow=True)
-_places = F.udf(lambda a, b: match_places(a or "", b or ""), T.ArrayType(T.IntegerType()), useArrow=True)
+_MATCHES = T.ArrayType(T.StructType([T.StructField("ai", T.IntegerType()), T.StructField("bj", T.IntegerType()), T.StructField("match", T.BooleanType())]))
+sequence_pairs = F.udf(align_sequences, _MATCHES, useArrow=True)
+_places = F.udf(match_places, T.ArrayType(T.IntegerType()), useArrow=True)
+
+
+def canonical(c: Column, script: tuple[str, str] = ("", "")) -> Column:
+    """Spoken characters as written ones, then the caller's script table (from, to), character by character."""
+    written = F.translate(c, SPOKEN, WRITTEN)
+    return F.translate(written, *script) if script[0] else written
 
 
-def canonical(c: Column) -> Column:
-    return F.translate(c, SPOKEN, WRITTEN)
+def is_homophone(a: Column, b: Column, table: Column, script: tuple[str, str] = ("", "")) -> Column:
+    """Whether two characters share a reading; unknown characters share none.
 
+    ``table`` maps a character to its readings; with ``script`` a character is looked up in its converted
+    form first and as it is second.
+    """
 
-def grade(df: DataFrame, target: str, heard: str, readings: Column) -> DataFrame:
-    """``df`` with accuracy, heard_text and marks; a character is right if equal or of a shared reading."""
-    t, h = only_script(F.col(target)), only_script(spell_out(F.col(heard)))
+    def readings(ch: Column) -> Column:
+        own = F.try_element_at(table, ch)
+        return F.coalesce(F.try_element_at(table, F.translate(ch, *script)), own) if script[0] else own
+
+    return F.coalesce(F.arrays_overlap(readings(a), readings(b)), F.lit(False))
+
+
+def grade(df: DataFrame, target: str, heard: str, readings: Column, script: tuple[str, str] = ("", ""), lookup: tuple[str, str] = ("", "")) -> DataFrame:
+    """``df`` with accuracy, heard_text and marks; a character is right if equal or of a shared reading.
+
+    ``script`` is the table both sides are compared in, ``lookup`` the one that readings are kept in.
+    """
+    t, h = only_script(F.coalesce(F.col(target), F.lit(""))), only_script(spell_out(F.coalesce(F.col(heard), F.lit(""))))
     chars = lambda s: F.filter(F.split(s, ""), lambda x: x != "")
     # The UDF's column stands alone: Spark cannot evaluate Python inside a lambda.
-    df = df.withColumns({"_t": t, "heard_text": h}).withColumn("_p", _places(canonical(F.col("_t")), canonical(F.col("heard_text"))))
+    df = df.withColumns({"_t": t, "heard_text": h}).withColumn("_p", _places(canonical(F.col("_t"), script), canonical(F.col("heard_text"), script)))
 
     def mark(other_chars: Column):
         def one(ch: Column, i: Column) -> Column:
             other = F.get(other_chars, F.when(F.get(F.col("_p"), i) >= 0, F.get(F.col("_p"), i)))
-            ok = F.coalesce(canonical(ch) == canonical(other), F.lit(False))
-            sound = ~ok & F.coalesce(F.arrays_overlap(F.try_element_at(readings, ch), F.try_element_at(readings, other)), F.lit(False))
-            return F.struct(ch.alias("char"), ok.alias("ok"), sound.alias("sound"))
+            ok = F.coalesce(canonical(ch, script) == canonical(other, script), F.lit(False))
+            return F.struct(ch.alias("char"), ok.alias("ok"), (~ok & is_homophone(ch, other, readings, lookup)).alias("sound"))
 
         return one
 
@@ -107,5 +144,14 @@ def grade(df: DataFrame, target: str, heard: str, readings: Column) -> DataFrame
     return df.withColumn("accuracy", F.when(F.size("marks") > 0, right / F.size("marks")).otherwise(0.0)).drop("_t", "_p")
 
 
+def percent(accuracy: Column) -> Column:
+    """Rounded half up."""
+    return F.floor(accuracy * 100 + 0.5).cast("int")
+
+
 def band(accuracy: Column) -> Column:
-    return F.when(F.floor(accuracy * 100 + 0.5) >= 80, "good").otherwise("mid")
+    return F.when(percent(accuracy) >= 80, "good").otherwise("mid")
+
+
+def mark_class(mark: Column) -> Column:
+    return F.when(mark["ok"], "ok").when(mark["sound"], "soft").otherwise("bad")

@@ -16,20 +16,25 @@ def first_n(df: DataFrame, n: int, group: list[str], *order: Column) -> DataFram
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def greedy_two_key(df: DataFrame, order: str, title: str, host: str, chars: str, candidates: int = 12, least: int = 80, most: int = 4, prefix: int = 12) -> DataFrame:
+def greedy_two_key(df: DataFrame, order: str, title: str, host: str, chars: str, group: str | None = None, candidates: int = 12, least: int = 80, most: int = 4, prefix: int = 12) -> DataFrame:
     """Accept in order unless the title's prefix or the host is already accepted.
 
-    The order decides, so the first ``candidates`` rows (the operator's own limit) are one fold.
+    The order decides, so the first ``candidates`` rows (the operator's own limit) of a group, or of all,
+    are one fold.
     """
-    item = F.struct(F.col(order).alias("ord"), F.substring(title, 1, prefix).alias("t"), F.col(host).alias("d"), F.col(chars).cast("int").alias("n"))
-    rows = df.orderBy(order).limit(candidates).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    item = F.struct(F.col(order).cast("long").alias("ord"), F.substring(title, 1, prefix).alias("t"), F.col(host).alias("d"), F.col(chars).cast("int").alias("n"))
     kind = "array<struct<ord:bigint,t:string,d:string,n:int>>"
+    if group is None:
+        rows = df.orderBy(order).limit(candidates).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    else:
+        rows = first_n(df, candidates, [group], F.col(order)).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"))
 
     def step(acc: Column, x: Column) -> Column:
         seen = F.exists(acc, lambda a: (a["t"] == x["t"]) | (a["d"] == x["d"]))
         return F.when((F.size(acc) >= most) | seen | (x["n"] < least), acc).otherwise(F.concat(acc, F.array(x)))
 
-    return rows.select(F.explode(F.aggregate(F.col("xs").cast(kind), F.array().cast(kind), step)).alias("x")).select("x.*")
+    keys = [group] if group else []
+    return rows.select(*keys, F.explode(F.aggregate(F.col("xs").cast(kind), F.array().cast(kind), step)).alias("x")).select(*keys, "x.*")
 
 
 def balanced(df: DataFrame, source: str, order: str, score: Column, most: int) -> DataFrame:
@@ -41,8 +46,8 @@ def balanced(df: DataFrame, source: str, order: str, score: Column, most: int) -
 
 
 def relaxed_pool(df: DataFrame, chars: str, strict: int = 80, loose: int = 20, enough: int = 6) -> DataFrame:
-    n = df.agg(F.count_if(F.col(chars) >= strict).alias("_n"))
-    return df.join(F.broadcast(n)).where(F.col(chars) >= F.when(F.col("_n") >= enough, strict).otherwise(loose)).drop("_n")
+    n = df.agg(F.count_if(F.col(chars) >= strict).alias("_strict"))
+    return df.join(F.broadcast(n)).where(F.col(chars) >= F.when(F.col("_strict") >= enough, strict).otherwise(loose)).drop("_strict")
 
 
 def lanes(guaranteed: DataFrame, rest: DataFrame, order: list[str], most: int = 12, slots: int = 4) -> DataFrame:
@@ -52,6 +57,7 @@ def lanes(guaranteed: DataFrame, rest: DataFrame, order: list[str], most: int =
 
 
 def best_voice(df: DataFrame, score: Column, order: str) -> DataFrame:
+    """The best voice, of equal ones the first; none where no voice scores 0 or more."""
     return df.withColumn("score", score).where("score >= 0").orderBy(F.desc("score"), order).limit(1)
 
 
@@ -62,5 +68,6 @@ def tiered(formal: Column, tier1: Column, tier2: Column, rules: Column) -> Colum
 
 
 def set_method(df: DataFrame) -> DataFrame:
+    """The method of a whole set: verified if any article is, by a model if any is, else by rules."""
     verified, model = F.bool_or("verified"), F.bool_or(F.col("method") != "rules")
     return df.agg(F.when(verified, "llm+verify").when(model, "llm").otherwise("rules").alias("method"), F.count(F.lit(1)).alias("articles"), F.sum("repaired").alias("repaired"))
