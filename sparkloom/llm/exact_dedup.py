@@ -1,9 +1,10 @@
 """Exact de-duplication by deterministic block naming.
 
-The text without blanks is cut into blocks of ``block_bytes`` bytes.  All distinct blocks are sorted
-and numbered, so equal blocks and only they share an integer.  Adjacent integers are then named in
-pairs, round after round, until every document holds one integer; with the number of its blocks it
-is an identity that two documents share if and only if their texts are equal.
+The text without blanks is cut into blocks of ``block_bytes`` bytes.  All distinct blocks are sorted, by
+their first ``PREFIX`` bytes and then a hash, and a block's name is its place in that order: equal blocks
+and only they share an integer, which depends on the blocks alone.  Adjacent integers are then sorted
+and named in pairs, round after round, until every document holds one integer; with the number of its
+blocks it is an identity that two documents share if and only if their texts are equal.
 
 Rows: null text counts as empty; repeated rows (same id, same text) are rows of one group, of which
 one is kept; a null id ranks after every other id.  An empty table gives an empty result.  Only the
@@ -21,10 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Stage, shuffle_width
+from .ranks import numbered
+from .scratch import Stage
 from .textcols import drop_blanks, let, text_or_empty
 
 BLOCK_BYTES = 4096
+PREFIX = 16
 
 
 def _blocks(norm: Column, block_bytes: int) -> Column:
@@ -47,7 +50,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     spark = df.sparkSession
     stage = Stage(spark, "naming")
-    n = shuffle_width(spark)
     norm = drop_blanks(text_or_empty(text_col))
     for salt in range(8):
         name = _key(salt)
@@ -61,12 +63,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             f"rows{salt}",
         )
         blocks = df.select(F.explode(_blocks(norm, block_bytes)).alias("block"))
-        names = stage.table(
-            blocks.groupBy("block").agg(F.lit(1))
-            .sortWithinPartitions("block")
-            .select(name(F.col("block")).alias("key"), F.monotonically_increasing_id().alias("name")),
-            f"names{salt}",
-        )
+        distinct = blocks.groupBy("block").agg(F.lit(1)).select(F.substring("block", 1, PREFIX).alias("prefix"), name(F.col("block")).alias("key"))
+        names = numbered(stage.table(distinct, f"blocks{salt}"), ["prefix", "key"], stage, f"sorted{salt}", "name")
+        names = stage.table(names.select("key", "name"), f"names{salt}")
+        stage.drop(f"blocks{salt}", f"sorted{salt}")
         if names.groupBy("key").count().where("count > 1").isEmpty():
             break
         # Two different blocks share a key: take keys with another salt, so that no identity collides.
@@ -86,11 +86,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             ),
             f"pairs{k}",
         )
-        named = stage.table(
-            pairs.groupBy("a", "b").agg(F.lit(1)).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")),
-            f"pairnames{k}",
-        )
+        distinct = stage.table(pairs.select("a", "b").distinct(), f"distinct{k}")
+        named = stage.table(numbered(distinct, ["a", "b"], stage, f"sorted-pairs{k}", "name"), f"pairnames{k}")
         level = stage.table(pairs.join(named, ["a", "b"]).select("rid", "blocks", "pos", "name"), f"level{k}")
+        stage.drop(f"pairs{k}", f"distinct{k}", f"sorted-pairs{k}", f"pairnames{k}")
         ends = F.col("blocks") <= 2**k
         done = done.unionByName(level.where(ends & (F.col("blocks") > 2 ** (k - 1))).select("rid", "blocks", "name"))
         level = level.where(~ends)
@@ -99,6 +98,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     )
     best = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     groups = stage.table(whole.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
+    stage.keep("whole", "groups")
     out = whole.join(groups, ["blocks", "name"])
     return out.select(
         F.col("id").alias(id_col),

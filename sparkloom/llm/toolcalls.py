@@ -193,7 +193,9 @@ def levels_of(edges: DataFrame, stage: Stage) -> DataFrame:
     up = joints.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("at"))
     level = F.when(F.col("moving") | (F.col("at") < 0), -1).otherwise(F.col("d") + F.coalesce("at", F.lit(0)))
     chains = jumps.join(up, ["conv_id", "to"], "left").select(*node, level.alias("level"))
-    return chains.unionByName(joints).withColumn("level", F.col("level").cast("int"))
+    out = stage.table(chains.unionByName(joints).withColumn("level", F.col("level").cast("int")), "levels")
+    stage.keep("linked", "levels")
+    return out
 
 
 #: The schemas of the calls that the conversations table is read as.

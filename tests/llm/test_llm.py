@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -128,6 +129,74 @@ def test_secrets_leave_language_alone(spark):
         assert sum(bool(got[1000 * k + i]) for i in range(40)) >= 36
 
 
+def battery_by_hand(token):
+    """The three tests and their combination, with exact normal tails."""
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    fits = [n for n, a in secrets.ALPHABETS.items() if set(token) <= set(a) and (n.lower() != "base36" or re.search("[0-9]", token))]
+    if not fits or fits[0] == "decimal":
+        return 0.0
+    alphabet = secrets.ALPHABETS[fits[0]]
+    r, n, size, c = [alphabet.index(ch) for ch in token], len(token), len(alphabet), secrets.CELLS
+    cells = [v * c // size for v in range(size)]
+    x2 = sum((sum(v * c // size == j for v in r) - n * cells.count(j) / size) ** 2 / (n * cells.count(j) / size) for j in range(c))
+    z = ((x2 / (c - 1)) ** (1 / 3) - (1 - 2 / (9 * (c - 1)))) / math.sqrt(2 / (9 * (c - 1)))
+    chi = tail(z) if z > 0 else 1.0
+    high = [2 * v >= size for v in r]
+    n1, n0 = sum(high), n - sum(high)
+    mean = 2 * n1 * n0 / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = tail((1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / math.sqrt(var)) if var > 0 else 0.0
+    d = [v - sum(r) / n for v in r]
+    own = sum(v * v for v in d)
+    serial = tail((sum(a * b for a, b in zip(d, d[1:])) / own + 1 / n) * math.sqrt(n)) if own > 0 else 0.0
+    return min(1.0, 3 * min(chi, runs, serial))
+
+
+def test_secret_battery(spark):
+    """p-values and the step-up over a text's runs, against the formulas."""
+    r = random.Random(14)
+    tokens = ["".join(r.choices(a, k=r.choice([20, 24, 33, 64]))) for a in secrets.ALPHABETS.values() for _ in range(6)]
+    tokens += ["InternationalizationHandler", "abcdefabcdefabcdefabcdef", "0123456789abcdef01234567", "aaaaaaaaaaaaaaaaaaaaaaaa", "the-quick-brown-fox-jumps"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    got = {x["i"]: (x["p"], x["q"]) for x in rows.select("i", secrets.randomness_p(F.col("t")).alias("p"), secrets.language_p(F.col("t")).alias("q")).collect()}
+    null = lambda t, p: 1 - p ** (2 ** (-secrets.BITS_PER_CHAR * len(t))) if p >= secrets.ALPHA else 1.0
+    for i, t in enumerate(tokens):
+        want = battery_by_hand(t)
+        assert abs(got[i][0] - want) < 1e-5 and abs(got[i][1] - null(t, want)) < 1e-5, (t, got[i], want)
+    texts = [(k, " ".join(r.sample(tokens, 12)), "a") for k in range(60)]
+    found = {x["doc_id"]: [s["m"] for s in x["spans"] if s["k"] == secrets.RANDOM] for x in secrets.find_secrets(docs(spark, texts)).collect()}
+    for k, t, _ in texts:
+        p = [null(w, battery_by_hand(w)) for w in t.split()]
+        passed = [v for j, v in enumerate(sorted(p), 1) if v <= secrets.Q * j / len(p)]
+        assert found[k] == [w for w, v in zip(t.split(), p, strict=True) if passed and v <= max(passed)], k
+
+
+def test_names_do_not_depend_on_the_layout(spark):
+    """Blocks are named by their place in one order, whatever the number of partitions."""
+    from sparkloom.llm.ranks import numbered
+
+    rows = spark.createDataFrame([(prose(9, i % 50).encode(),) for i in range(300)], "block binary").distinct()
+    names = lambda df: {bytes(r["block"]): r["name"] for r in numbered(df, ["block"], Stage(spark, "t"), "x", "name").collect()}
+    a, b = names(rows), names(rows.repartition(9))
+    assert a == b == {x: i for i, x in enumerate(sorted(a))}
+
+
+def test_queries_match_their_sql(spark):
+    """The operators' queries on the smallest tables against their SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from sparkloom.llm import queries
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE.items():
+        found = con.execute(sql)
+        cols = [c[0] for c in found.description]
+        df = queries.QUERIES[name](spark, sf)
+        assert sorted(df.columns) == sorted(cols), name
+        assert sorted(tuple(str(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(map(str, r)) for r in found.fetchall()), name
+
+
 def test_many_spans(spark):
     """A text of many thousand matches, in order and at their places."""
     text = "é a.b@c.de 10.0.0.1 " * 20000
@@ -579,6 +648,34 @@ def test_toxicity(spark):
     assert len(got) > 60 and sum(x["predicted"] == int(x["doc_id"] % 5 == 0) for x in got) >= 0.95 * len(got)
 
 
+def test_toxicity_edges(spark):
+    """Null and empty texts, repeated and null ids, null and double labels, tables without rows or without a class."""
+    rows = [(i, prose(30, i) + (" vile slur" * 2 if i % 4 == 0 else ""), "a") for i in range(200)] + EDGE
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(3, None), (None, 1), (8, 0), (8, 1)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    got = toxicity.toxicity(docs(spark, rows).withColumn("toxic", F.lit(9)), labels).collect()
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    assert all(x["held_out"] == fold(x["doc_id"]) for x in got)
+    again = [x["score"] for x in got if x["doc_id"] == 4]
+    assert len(set(again[-2:])) == 1
+    assert toxicity.toxicity(docs(spark, rows).limit(0), labels).count() == 0
+    assert {x["score"] for x in toxicity.toxicity(docs(spark, rows[:20]), labels.limit(0)).collect()} == {0.0}
+    assert {x["score"] for x in toxicity.toxicity(docs(spark, rows[:20]), labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_span_operators_edges(spark):
+    """Null, empty, repeated and id-less rows are searched each for itself; an empty table gives none."""
+    rows = EDGE + [(9, "mail a.b@c.de token=abcdef123", "a")] * 3 + [(None, "mail a.b@c.de token=abcdef123", None)]
+    for find, digest, n in ((pii.find_pii, pii.pii_digest, "n_email"), (secrets.find_secrets, secrets.secret_digest, "n_assign")):
+        df = docs(spark, rows).withColumns({"spans": F.lit("clash"), "found": F.lit(1), "id": F.lit(2)})
+        got = digest(find(df)).collect()
+        assert sorted(str(x["doc_id"]) for x in got) == sorted(str(r[0]) for r in rows)
+        assert sorted(str(x["doc_id"]) for x in got if x[n]) == ["9", "9", "9", "None"]
+        assert all(x["spans"] == "" and x["base_sha256"] == hashlib.sha256(b"").hexdigest() for x in got if not x[n])
+        assert digest(find(df.limit(0))).count() == 0
+    assert exact_dedup.exact_dedup(docs(spark, EDGE).limit(0)).count() == 0
+
+
 def test_toxicity_counts_every_sequence(spark):
     """The evidence of exact counts, on more distinct sequences than a small table has cells."""
     from collections import Counter

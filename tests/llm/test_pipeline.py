@@ -1,6 +1,10 @@
 """The pipeline end to end on the smallest tables."""
 
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("sparkloom.llm")
 P = pytest.importorskip("corpus_pipeline")
@@ -8,6 +12,40 @@ P = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
 
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) + str(r.randrange(90)) for _ in range(n))
+
+
+def test_rows_without_ids(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, and columns named like the stages' own go through every stage."""
+    item = prose(30, 900)
+    rows = [(None if k % 3 else 7, prose(40 + k, k), "x" if k % 2 else None) for k in range(60)]
+    rows += [(None, None, "x"), (5, "", "x"), (5, "", "x"), (6, " \n", None), (None, "short one", "y"), (None, "short one", "y")]
+    leaks = [(None, prose(20, 500 + k) + " " + item + " " + prose(20, 600 + k), "x") for k in range(4)]
+    copy = [(3, prose(80, 700), "x"), (None, prose(80, 700) + " tail", "x"), (None, prose(80, 700) + " end", "y")]
+    schema = "doc_id long, text string, source string"
+    extra = {c: F.lit(c) for c in ("copies", "rid", "row_number_", "times", "slot", "Shard", "toxic_score", "first", "fp", "key")}
+    full = spark.createDataFrame(rows + leaks + copy, schema).withColumns(extra)
+    full.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, 0), (3, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = P.run(spark, str(tmp_path)).collect()
+    assert P.run(spark, str(tmp_path)).columns == [*full.columns, "slot_", "shard_"]
+    texts = [r["text"] for r in out]
+    assert {r["copies"] for r in out} == {"copies"} and all(r["Shard"] == "Shard" and r["shard_"].startswith("shard-") for r in out)
+    assert not [t for t in texts if t and item in t] and max(Counter(t for t in texts if t).values()) <= 2
+    # Of near copies and equal rows one is left, under the least id; the words taken come near 150 %.
+    assert not [t for t in texts if t and t.endswith((" tail", " end"))]
+    kept = [t for _, t, _ in rows if t and t.strip()][:60] + [prose(80, 700), "short one"]
+    words = sum(len(t.split()) for t in texts if t)
+    assert abs(words - 1.5 * sum(len(t.split()) for t in kept)) <= 300 and len(set(texts) - {None, "", " \n"} - set(kept)) == 0
+    for name in ("documents", "benchmark", "labels"):
+        df = spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = P.run(spark, SF).toPandas()
