@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, on re-read tables.
 
 Each half round joins every edge with its node's least neighbour; a hot node is split by AQE, and
-the number of half rounds is logarithmic in the longest path.
+the number of half rounds is logarithmic in the longest path.  It ends when the edges are stars, which
+one aggregation tells.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from .scratch import Stage
 
 
-def _mark(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser one at most, and none if a greater one has an edge to it."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("x")
+    of = e.select(ends).select("x.*").groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return of.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def components(edges: DataFrame, stage: Stage, label: str) -> DataFrame:
@@ -23,9 +27,9 @@ def components(edges: DataFrame, stage: Stage, label: str) -> DataFrame:
     """
     big, small = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     e = stage.table(edges.where("u <> v").select(big, small).distinct(), f"{label}-e")
-    before, k = None, 0
-    while (now := _mark(e)) != before:
-        before, k = now, k + 1
+    k = 0
+    while not _are_stars(e):
+        k += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-l{k}")
         e = stage.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{label}-L{k}")

@@ -6,9 +6,9 @@ a region, so that neighbours there share the longest prefixes.
 
 First, groups of many copies: in a region of more than ``SMALL`` documents each meets the region's
 hub, the document that lies in the largest regions over all trees, as the original of a group does.
-These links give first components.  Then every tree is walked in order: a document meets the
-``NEAR`` that follow it in its region, so that in a region of up to ``NEAR`` + 1 all pairs meet and in
-a larger one the depth adapts to the longest common prefixes.  Pairs that one first component holds
+Documents linked to one hub are known to be of one component.  Then every tree is walked in order: a
+document meets the ``NEAR`` that follow it in its region, so that in a region of up to ``NEAR`` + 1 all
+pairs meet and in a larger one the depth adapts to the longest common prefixes.  Pairs that have one hub
 already are left out, as no link between them changes the result.  The orders are one distributed
 sort, so the largest region is spread over many tasks; what the task boundaries separate is paired
 in a second, small pass.
@@ -19,13 +19,13 @@ dealt out in blocks of about ``BLOCK`` documents, and a component that fills blo
 compared with itself.  A task gives no more links than join its components, so that the rows grow
 with the documents, while the comparisons grow with the square of such a region.
 
-Candidates are dropped when set sizes or signatures (``EST`` is five standard errors below 0.75; in
-the walk from ``NIBBLE`` bits a value) rule a link out.  All others are confirmed on full sets, which
-are computed again from the texts of the documents that have a candidate (found by a hash of id and
-text, broadcast up to ``ASKED_BROADCAST`` of them).
+The walk's candidates are dropped when set sizes or signatures (``NIBBLE`` bits a value; ``EST`` is almost
+five standard errors below 0.75) rule a link out.  All others are confirmed on full sets, which are computed
+again from the texts of the documents that have a candidate (found by a hash of id and text, broadcast
+up to ``ASKED_BROADCAST`` of them).
 
-At similarity 0.75 a pair shares no region with probability (1 - 0.75**3)**24, about 2e-6.
-The estimates lose such a pair with 9e-7 in the walk and with 4e-7 at a hub, for independent values.
+At similarity 0.75 a pair shares no region with probability (1 - 0.75**3)**24, about 2e-6; the
+estimate loses such a pair with 9e-6, for independent values.
 
 Documents with equal sets are one node (128-bit fingerprint of the set).  Rows: null or blank text
 has an empty set, links with nothing and is its own component; repeated rows are equal sets; a null
@@ -50,7 +50,7 @@ TREES, DEPTH, DEEPER = 24, 3, 4
 HASHES = TREES * DEPTH
 SMALL, NEAR = 8, 16
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-EST = 0.48
+EST = 0.5
 NIBBLE = 4
 SKETCH = HASHES * NIBBLE // 8
 ALIKE = HASHES * (EST + (1 - EST) / 2**NIBBLE)  # equal nibbles at that similarity
@@ -118,7 +118,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per node and tree: region, order inside it, set size, first component, node, sketch."""
+    """A row per node and tree: region, order inside it, set size, hub, node, sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -210,23 +210,6 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similarity estimated from the two signatures' equal values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))], ["a", "b", "est"])
-
-
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures cut to 16 bits a value, for estimates."""
-    for batch in batches:
-        if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([r.tobytes() for r in sig], pa.binary())], ["fp", "sig"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets of the asked-for nodes; a row whose set is another's goes."""
     for batch in batches:
@@ -288,26 +271,34 @@ def _involved(pairs: DataFrame) -> DataFrame:
 
 
 def hub_pairs(nodes: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of a node and the hub of a large region, of nodes (fp, n, sig); the large regions' nodes."""
+    """Distinct pairs (a, b, score) of a node and the hub b of a large region, of nodes (fp, n, sig); the large regions' nodes."""
     members = stage.table(nodes.select("fp", "sig").mapInArrow(_members, "region long, fp binary"), "members")
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL)
     sizes = stage.table(sizes, "sizes")
     large = stage.table(members.join(sizes, "region"), "large")
     score = stage.table(large.groupBy("fp").agg(F.sum("size").alias("score")), "score")
     best = F.max(F.struct("score", F.col("fp").alias("b"))).alias("x")
-    hubs = stage.table(large.join(score, "fp").groupBy("region").agg(best).select("region", "x.b"), "hubs")
-    pairs = stage.table(_ordered_pair(large.join(hubs, "region").select(F.col("fp").alias("a"), "b")).distinct(), "hub-pairs")
-    short = stage.table(nodes.join(_involved(pairs), "fp", "left_semi").select("fp", "sig").mapInArrow(_short, "fp binary, sig binary"), "short")
-    both = pairs.join(short.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a")
-    both = both.join(short.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
-    est = both.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a binary, b binary, est double").where(F.col("est") >= EST)
-    out = stage.table(est.select("a", "b"), "hub-est")
-    stage.drop("members", "sizes", "score", "hubs", "hub-pairs", "short")
-    return out, large
+    hubs = stage.table(large.join(score, "fp").groupBy("region").agg(best).select("region", "x.b", "x.score"), "hubs")
+    n = nodes.select("fp", "n")
+    pairs = large.join(hubs, "region").where("fp <> b").select(F.col("fp").alias("a"), "b", "score").distinct()
+    pairs = pairs.join(n.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = stage.table(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b", "score"), "hub-pairs")
+    stage.drop("members", "sizes", "score", "hubs")
+    return pairs, large
+
+
+def hub_labels(pairs: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
+    """(u, root): the hub with the highest score that a node is linked to or is, or that hub's; one label is one component."""
+    linked = pairs.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"])
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), "score", "b"), F.struct(F.col("b").alias("u"), "score", "b"))).alias("x")
+    own = stage.table(linked.select(ends).select("x.*").groupBy("u").agg(F.max(F.struct("score", "b"))["b"].alias("root")), "own-hubs")
+    # A hub may have a hub of its own, which is then its documents' label.
+    of = own.where("u <> root").select(F.col("u").alias("root"), F.col("root").alias("next"))
+    return stage.table(own.join(of, "root", "left").select("u", F.coalesce("next", "root").alias("root")), "labels")
 
 
 def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
-    """Distinct candidate pairs (a, b) of neighbours in the trees whose first components differ."""
+    """Distinct candidate pairs (a, b) of neighbours in the trees whose hubs differ."""
     width = shuffle_width(nodes.sparkSession)
     known = nodes.join(roots.select(F.col("u").alias("fp"), F.col("root").alias("r")), "fp", "left")
     rows = known.select("n", "fp", "sig", F.xxhash64(F.coalesce("r", "fp")).alias("root")).mapInArrow(_plant, _ROW_TYPES)
@@ -323,23 +314,24 @@ def walk_pairs(nodes: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     return pairs
 
 
-def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
-    """(fp, set) of the asked-for nodes, computed again from the texts."""
-    asked = stage.table(nodes.join(asked, "fp", "left_semi").select("fp", F.col("rep.key").alias("key")), f"{label}-asked")
-    if asked.count() <= ASKED_BROADCAST:  # else the texts are shuffled to their ids
+def full_sets(asked: DataFrame, most: int, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
+    """(fp, set) of the asked-for nodes (fp), at most ``most``, computed again from the texts."""
+    asked = nodes.join(asked, "fp", "left_semi").select("fp", F.col("rep.key").alias("key"))
+    if most <= ASKED_BROADCAST:  # else the texts are shuffled to their keys
         asked = F.broadcast(asked)
     texts = docs.join(asked, "key").select("fp", "text")
     return stage.table(texts.mapInArrow(_sets, "fp binary, set binary").dropDuplicates(["fp"]), f"{label}-sets")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, stage: Stage, label: str) -> DataFrame:
-    """The pairs whose full sets, computed again from the texts, reach the similarity, as edges (u, v)."""
-    sets = full_sets(_involved(pairs), nodes, docs, stage, label)
+    """The pairs (a, b) whose full sets, computed again from the texts, reach the similarity, as edges (u, v)."""
+    sets = full_sets(_involved(pairs), 2 * pairs.count(), nodes, docs, stage, label)
     sa = sets.select(F.col("fp").alias("a"), F.col("set").alias("xa"))
     sb = sets.select(F.col("fp").alias("b"), F.col("set").alias("xb"))
-    full = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "xa", "xb")
+    # b may be the hub of many: its set is joined while the rows are small.
+    full = pairs.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", "xa", "xb")
     links = stage.table(full.mapInArrow(_confirm, "a binary, b binary").select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
-    stage.drop(f"{label}-asked", f"{label}-sets")
+    stage.drop(f"{label}-sets")
     return links
 
 
@@ -362,7 +354,7 @@ def rest_links(large: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataF
     met = b.join(c, "region").where("block <= other AND (own IS NULL OR others IS NULL OR own <> others)")
     meets = stage.table(met.select("region", "block", "other", F.xxhash64("region", "block", "other").alias("meet")), "meets")
     sides = meets.select("region", "block", "meet", F.lit(0).alias("side")).unionByName(meets.where("block <> other").select("region", F.col("other").alias("block"), "meet", F.lit(1).alias("side")))
-    sets = full_sets(dealt.select("fp").distinct(), nodes, docs, stage, "rest")
+    sets = full_sets(dealt.select("fp").distinct(), dealt.count(), nodes, docs, stage, "rest")
     dealt = dealt.join(sides, ["region", "block"]).join(sets, "fp").select("meet", "side", "root", "fp", "set")
     return stage.table(dealt.groupBy("meet").applyInArrow(_linked, "u binary, v binary"), "rest-links")
 
@@ -385,10 +377,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     nodes = signed.where("fp IS NOT NULL").groupBy("fp", "n").agg(F.min(first).alias("x"))
     nodes = stage.table(nodes.select("fp", "n", F.struct("x.z", "x.id", "x.rid", "x.key").alias("rep"), F.col("x.sig").alias("sig")), "nodes")
     hubs, large = hub_pairs(nodes, stage)
-    hubs = confirmed(hubs, nodes, docs, stage, "hub")
-    first = stage.table(components(hubs, stage, "first"), "first")
-    links = confirmed(walk_pairs(nodes, first, stage), nodes, docs, stage, "walk")
-    edges = first.select("u", F.col("root").alias("v")).unionByName(links)
+    near_hub = confirmed(hubs, nodes, docs, stage, "hub")
+    labels = hub_labels(hubs, near_hub, stage)
+    links = confirmed(walk_pairs(nodes, labels, stage), nodes, docs, stage, "walk")
+    edges = near_hub.unionByName(links)
     roots = stage.table(components(edges, stage, "cc"), "roots")
     rest = rest_links(large, roots, nodes, docs, stage)
     if not rest.isEmpty():
