@@ -8,8 +8,6 @@ the literal inputs of ``fixtures``.  ``oracles`` states each of them in SQL.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,6 +279,13 @@ def rules_rewrite(spark, d):
     return _texts(spark).withColumn("ps", rules.segments(F.col("t"))).select("id", *_sides("ps", "formal", "colloquial"))
 
 
+@query
+def loaded_rules(spark, d):
+    """Texts rewritten by a landed table of rules."""
+    table = rules.load_rules(_values(spark, X.RULES, "k string, v string, kind string"))
+    return _texts(spark).select("id", rules.rewrite(F.col("t"), table).alias("colloquial"))
+
+
 @query
 def han_rewrite(spark, d):
     return _turns(spark, d, True).select("k", rules.rewrite(F.col("t")).alias("colloquial"))
@@ -404,6 +409,16 @@ def curriculum_summary(spark, d):
     return files.curriculum_summary(_curriculum(spark))
 
 
+@query
+def curriculum_files(spark, d):
+    """A curriculum read from its source, checked, built, written as a document, read again and summed up."""
+    top = files.new_folder(spark)
+    _values(spark, [(json.dumps(X.GOOD_SOURCE, ensure_ascii=False),)], "value string").write.text(f"{top}/source")
+    source = files.read_document(spark, f"{top}/source", curriculum.SOURCE)
+    written = files.write_curriculum(curriculum.build(source, _spoken_readings()), curriculum.source_failures(source), f"{top}/built")
+    return files.curriculum_summary(files.read_curriculum(spark, f"{top}/built")).withColumn("written", F.lit(written))
+
+
 @query
 def dialogue_audio(spark, d):
     return dialogue.dialogue_lines(_curriculum(spark)).select("article_id", "sentence_id", "text", "voice", "audio")
@@ -503,12 +518,6 @@ def _set(spark):
     return lessons.lesson_set(_built(spark), EngineConfig(date="2026-07-01", source="甲"), "乙")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder of its own: in the shared space, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/lessons-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-
-
 @query
 def lesson_sentences(spark, d):
     return _sentences(spark).select("article_id", "unit_id", "formal", "colloquial", F.array_join("jyutping", " ").alias("jyutping"), "method")
@@ -523,7 +532,7 @@ def lesson_articles(spark, d):
 @query
 def lesson_files(spark, d):
     """A set written as a document, read again and summed up."""
-    path = _folder(spark)
+    path = files.new_folder(spark)
     files.write_lessons(_set(spark), path)
     back = files.read_lessons(spark, path, path)
     return files.summary(back).join(back.select("note")).select("method", "note", "articles", "sentences", "repaired")
@@ -537,7 +546,7 @@ def lesson_checks(spark, d):
 @query
 def lesson_fallback(spark, d):
     """Which document is read where the daily one is absent, empty, broken or full."""
-    top = _folder(spark)
+    top = files.new_folder(spark)
     one = lambda name, n: _values(spark, [(name, [("a",)] * n)], "source string, articles array<struct<id:string>>")
     files.write_document(one("sample", 1), f"{top}/sample")
     files.write_document(one("daily", 0), f"{top}/empty")
@@ -572,7 +581,7 @@ def paragraph_groups(spark, d):
 
 @query
 def reading_dictionary(spark, d):
-    path = _folder(spark)
+    path = files.new_folder(spark)
     files.write_readings(quality.distinct_readings(_values(spark, X.READING_ROWS, "ch string, ord int, syllable string")), path)
     return files.read_readings(spark, path).select("ch", F.array_join("readings", " ").alias("readings"))
 

@@ -102,6 +102,9 @@ CURRICULUM = {
         {"id": None, "title": _T("No id"), "scenarios": None},
     ]
 }
+RULES = [("他", "佢", "char"), ("他們", "佢哋", "phrase"), ("其他", None, "protect"), ("了解", "明白", "phrase"), ("了解", None, "protect"), ("目的", "目標", "phrase"), ("目的", "旨", "char"), ("", "x", "char"), ("港股", "", "phrase"), ("公司", "間公司", "phrase")]
+#: A source that passes every check.
+GOOD_SOURCE = {"categories": [{"id": f"c{c}", "emoji": None, "title": _T(f"C{c}"), "scenarios": [{"id": f"c{c}s{k}", "title": _T(f"S{k}"), "lines": [{"speaker": "甲", "formal": "他們來", "colloquial": "佢哋嚟", "en": None}] * (1 + (k + c) % 3)} for k in range(12)]} for c in range(2)]}
 CANDIDATES = [  # ord, title, body, url, published, source
     *[(k, f"題目{k}", "政府宣布推出新政策，" * (1 + k % 9), f"http://p/{k}", None, f"來源{k % 3}") for k in range(20)], (20, "恒指", "恒指收市報25000點，升幅1.5%。" * 6, "http://p/20", None, "來源3"),
     (21, "雜", "版權所有，不得轉載\n\n" + "銀行調查就業及通脹，" * 10, "http://p/21", None, "來源3"),

@@ -151,6 +151,17 @@ def rule_pairs(x: str) -> str:
     return let(rule_tokens(x), "ts", f"list_transform(ts, lambda tk, i: {{'f': tk, 'c': CASE WHEN tk = '了' THEN {past} ELSE coalesce({table}[tk], tk) END}})")
 
 
+def loaded_rules(x: str, rows: str) -> str:
+    """Texts by the landed rules: of equal keys the strongest kind, then the longest key first."""
+    kinds = "CASE kind WHEN 'protect' THEN 3 WHEN 'phrase' THEN 2 ELSE 1 END"
+    table = f"(SELECT k, arg_max(CASE WHEN kind = 'protect' THEN k ELSE v END, {kinds}) AS v FROM {values(X.RULES, 'k, v, kind')} WHERE k <> '' GROUP BY k)"
+    keys = "|".join(sorted({k for k, _, _ in X.RULES if k}, key=lambda k: (-len(k), k)))
+    tokens = hits(x, f"「[^」]*」?|《[^》]*》?|『[^』]*』?|{keys}|(?s:.)")
+    past = "CASE WHEN coalesce(substr(ts[i + 1], 1, 1), '') IN ('', '。', '！', '？') THEN '喇' ELSE '咗' END"
+    one = f"CASE WHEN tk = '了' THEN {past} ELSE coalesce(mm[tk], tk) END"
+    return f"SELECT id, array_to_string({let(tokens, 'ts', f'list_transform(ts, lambda tk, i: {one})')}, '') AS colloquial FROM {rows}, (SELECT map(list(k ORDER BY k), list(v ORDER BY k)) AS mm FROM {table})"
+
+
 def rule_segments(x: str) -> str:
     """Unchanged tokens beside each other are one segment."""
     begins = "list_filter(range(1, len(rp) + 1), lambda i: i = 1 OR rp[i].f <> rp[i].c OR rp[i - 1].f <> rp[i - 1].c)"
@@ -497,6 +508,7 @@ ORACLE = {
     "best_voice": f"SELECT id, score FROM (SELECT id, CASE WHEN name LIKE '%sinji%' THEN 6 WHEN lang = 'zh-hk' OR lang LIKE 'yue%' THEN 5 WHEN regexp_matches(name, 'cantonese|粵|aasing|aacantonese') THEN 5 WHEN lang LIKE '%hk%' THEN 4 WHEN lang LIKE 'zh%' THEN 1 ELSE -1 END AS score FROM (SELECT id, replace(lower(coalesce(lang, '')), '_', '-') AS lang, lower(coalesce(name, '')) AS name FROM {values(X.VOICES, 'id, lang, name')})) WHERE score >= 0 ORDER BY score DESC, id LIMIT 1",
     "voice_scores": f"SELECT id, CASE WHEN name LIKE '%sinji%' THEN 6 WHEN lang = 'zh-hk' OR lang LIKE 'yue%' THEN 5 WHEN regexp_matches(name, 'cantonese|粵|aasing|aacantonese') THEN 5 WHEN lang LIKE '%hk%' THEN 4 WHEN lang LIKE 'zh%' THEN 1 ELSE -1 END AS score FROM (SELECT id, replace(lower(coalesce(lang, '')), '_', '-') AS lang, lower(coalesce(name, '')) AS name FROM {values(X.VOICES, 'id, lang, name')})",
     "rules_rewrite": f"SELECT id, {joined(f'list_transform({rule_segments('t')}, lambda z: z.f)', '|')} AS formal, {joined(f'list_transform({rule_segments('t')}, lambda z: z.c)', '|')} AS colloquial FROM {values(X.HAN_TEXTS, 'id, t')}",
+    "loaded_rules": loaded_rules("t", values(X.HAN_TEXTS, "id, t")),
     "han_rewrite": f"SELECT k, {spoken(rule_pairs('t'))} AS colloquial FROM {_HAN_TURNS}",
     "cardinal_reading": f"SELECT n, {cardinal('n')} AS reading FROM (SELECT * FROM {values([(n,) for n in X.NUMBERS], 'n')} UNION ALL SELECT (o_orderkey * 7919 * (o_orderkey % 100003))::VARCHAR FROM orders)",
     "spell_numbers": f"SELECT id, {spell('t', 'a')} AS spelled FROM (SELECT id, {normalize_digits('t')} AS t, a FROM {values(X.SPELL, 'id, t, a')})",
@@ -521,6 +533,7 @@ ORACLE = {
     + " UNION ALL " + _rules(f"(SELECT cat, sid, i, x.formal AS f, x.colloquial AS c, x.speaker AS sp, list_transform(regexp_extract_all(x.colloquial, '(?s).'), lambda ch: coalesce(MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in X.SPOKEN_READINGS.items())}}}[ch], '')) AS j FROM {_LINES} WHERE cat = 'food')", "cat || '/' || sid || '#' || i", {k: v for k, v in _sentence_checks("f", "c", "j", None).items()} | {"speaker": "coalesce(sp, '') <> ''"}),
     "scenario_articles": f"SELECT s.id AS id, coalesce(s.title.en, s.id) AS title, CASE WHEN coalesce(cat_title.en, '') <> '' THEN 'Talk · ' || cat_title.en ELSE 'Talk' END AS source, len(s.lines)::INT AS lines FROM {_SCEN}",
     "curriculum_summary": f"SELECT (SELECT count(*) FROM {_SRC})::INT AS categories, (SELECT count(*) FROM {_SCEN})::INT AS scenarios, (SELECT count(*) FROM {_LINES})::INT AS lines",
+    "curriculum_files": f"SELECT count(DISTINCT c.id)::INT AS categories, count(*)::INT AS scenarios, sum(len(s.lines))::INT AS lines, true AS written FROM (SELECT c, unnest(c.scenarios) AS s FROM {_SRC.replace(q(json.dumps(X.CURRICULUM, ensure_ascii=False)), q(json.dumps(X.GOOD_SOURCE, ensure_ascii=False)))})",
     "speaker_names": f"SELECT id, CASE WHEN sp LIKE '{{%' THEN coalesce(json_extract_string(sp, '$.hans'), json_extract_string(sp, '$.hant'), json_extract_string(sp, '$.en')) ELSE sp END AS name FROM {values(X.SPEAKERS, 'id, sp')}",
     "labels": f"SELECT k, replace(replace(coalesce(max(text) FILTER (WHERE lang = 'hant'), max(text) FILTER (WHERE lang = 'en'), k), '{{0}}', '3'), '{{1}}', '9') AS label FROM (SELECT unnest(['lines', 'sentenceOf', 'only', 'none']) AS k) LEFT JOIN {values(X.LABELS, 'key, lang, text')} ON key = k GROUP BY k",
     "level_names": "SELECT l::INT AS level, CASE l WHEN 1 THEN '入門' WHEN 2 THEN '進階' WHEN 3 THEN '高級' ELSE '' END AS name FROM (SELECT unnest(range(0, 5)) AS l)",

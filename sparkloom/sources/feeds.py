@@ -74,10 +74,11 @@ def custom_articles(feeds: DataFrame, most: int = 4, p: ScriptProfile = HAN, min
 
 def with_fuller_bodies(articles: DataFrame, pages: DataFrame, p: ScriptProfile = HAN) -> DataFrame:
     """``articles`` with the body of their landed page (url, html) where that has more of the script."""
-    found = pages.groupBy("url").agg(F.max("html").alias("_html"))
+    asked = pages.join(articles.select("url").distinct(), "url", "left_semi")  # pages that no article has are not read on
+    full = F.coalesce(container_body(F.col("html")), F.lit(""))
+    found = asked.select("url", full.alias("_full")).groupBy("url").agg(F.max("_full").alias("_full"))
     joined = articles.join(found, "url", "left")
-    full = F.coalesce(container_body(F.col("_html")), F.lit(""))
-    return joined.withColumn("body", fuller(F.col("body"), full, p)).select(*articles.columns)
+    return joined.withColumn("body", fuller(F.col("body"), F.coalesce("_full", F.lit("")), p)).select(*articles.columns)
 
 
 def only_new(articles: DataFrame, seen: DataFrame, key: str) -> DataFrame:

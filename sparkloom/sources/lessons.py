@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,6 +24,23 @@ CURRICULUM = f"version int, categories array<struct<id:string,emoji:string,title
 SPEAKER = "struct<raw:string,en:string,hant:string,hans:string>"
 
 
+_LOCAL: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below ``spark.checkpoint.dir``, which all executors share; without the setting a
+    temporary one on a single machine, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="sparkloom-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = f"file://{_LOCAL[0]}"
+    return f"{base.rstrip('/')}/lessons-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+
+
 def read_document(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
     """The JSON documents below a path, one for each file or line; none where it is absent, none for one that is not JSON."""
     try:

@@ -45,7 +45,8 @@ def search_articles(feeds: DataFrame, links: DataFrame, pages: DataFrame, p: Scr
     items = parse_items(feeds).where(F.col("item_ord") < candidates).withColumn("title", clean_title(F.col("title")))
     rows = items.where("title <> ''").join(links.where("url IS NOT NULL").groupBy("link").agg(F.min("url").alias("url")), "link")
     rows = rows.withColumn("host", hostname(F.col("url"))).where("host IS NOT NULL")
-    rows = rows.join(pages.groupBy("url").agg(F.max("html").alias("html")), "url", "left").withColumn("body", article_body(F.coalesce("html", F.lit("")), p))
-    rows = rows.withColumn("n", script_count(F.col("body"), p)).drop("html")
+    asked = pages.join(rows.select("url").distinct(), "url", "left_semi").select("url", article_body(F.coalesce("html", F.lit("")), p).alias("body"))
+    rows = rows.join(asked.groupBy("url").agg(F.max("body").alias("body")), "url", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    rows = rows.withColumn("n", script_count(F.col("body"), p))
     picked = greedy_two_key(rows, "item_ord", "title", "host", "n", group="feed_ord", candidates=candidates, least=least, most=most)
     return picked.select("feed_ord", F.col("ord").alias("item_ord")).join(rows, ["feed_ord", "item_ord"]).select("feed_ord", F.col("item_ord").alias("ord"), "title", "body", "url", "published")
