@@ -518,6 +518,13 @@ def _set(spark):
     return lessons.lesson_set(_built(spark), EngineConfig(date="2026-07-01", source="甲"), "乙")
 
 
+def _written(spark):
+    """The set as it is read again from its document."""
+    path = files.new_folder(spark)
+    files.write_lessons(_set(spark), path)
+    return files.read_lessons(spark, path, path)
+
+
 @query
 def lesson_sentences(spark, d):
     return _sentences(spark).select("article_id", "unit_id", "formal", "colloquial", F.array_join("jyutping", " ").alias("jyutping"), "method")
@@ -525,22 +532,21 @@ def lesson_sentences(spark, d):
 
 @query
 def lesson_articles(spark, d):
-    off = lessons.unavailable(_built(spark), F.lit("llm+verify"))
-    return _built(spark).select("id", "converted", "method", "verified", "repaired", F.size("sentences").alias("sentences"), off.alias("unavailable"))
+    built = _built(spark)
+    off = lessons.unavailable(built, F.lit("llm+verify"))
+    return built.select("id", "converted", "method", "verified", "repaired", F.size("sentences").alias("sentences"), off.alias("unavailable"))
 
 
 @query
 def lesson_files(spark, d):
     """A set written as a document, read again and summed up."""
-    path = files.new_folder(spark)
-    files.write_lessons(_set(spark), path)
-    back = files.read_lessons(spark, path, path)
+    back = _written(spark)
     return files.summary(back).join(back.select("note")).select("method", "note", "articles", "sentences", "repaired")
 
 
 @query
 def lesson_checks(spark, d):
-    return quality.lesson_failures(_set(spark), "daily")
+    return quality.lesson_failures(_written(spark), "daily")
 
 
 @query
@@ -566,8 +572,9 @@ def news_audio(spark, d):
 
 @query
 def audio_injected(spark, d):
-    lines = dialogue.news_lines(_set(spark))
-    done = files.with_audio(_set(spark), lines.where("sentence_id % 2 = 0"), lines)
+    back = _written(spark)
+    lines = dialogue.news_lines(back)
+    done = files.with_audio(back, lines.where("sentence_id % 2 = 0"), lines)
     rows = done.select(F.explode("articles").alias("a")).select(F.col("a.id").alias("article_id"), F.explode("a.sentences").alias("s"))
     return rows.select("article_id", F.col("s.id").alias("sentence_id"), F.col("s.audio").alias("audio"))
 
