@@ -76,10 +76,9 @@ def char_measures(spark, d):
 
 @query
 def han_measures(spark, d):
-    c = F.col("t")
+    m = chars.measures(F.col("t"))
     return _han_docs(spark, d).select(
-        "doc_id", chars.script_count(c).alias("han"), F.round(chars.script_fraction(c), 6).alias("fraction"), F.round(chars.digit_density(c), 6).alias("density"),
-        chars.is_studyable(c).alias("studyable"), F.round(chars.news_score(F.lit(""), c), 4).alias("score"),
+        "doc_id", m["script"].alias("han"), F.round(m["fraction"], 6).alias("fraction"), F.round(m["density"], 6).alias("density"), m["studyable"].alias("studyable"), F.round(m["score"], 4).alias("score")
     )
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.config import EngineConfig
 from sparkloom.functions import chars, clean, folds, numerals, rules, segment
 from sparkloom.operators import align, dialogue, quality, rewriting, select
-from sparkloom.plans import catalog
+from sparkloom.plans import catalog, oracles
 from sparkloom.plans import fixtures as X
 from sparkloom.sources import feeds, search
 from sparkloom.sources import lessons as files
@@ -113,6 +114,33 @@ def test_studyable(spark):
     assert a < b
 
 
+def test_measures_in_one_pass(spark):
+    """Measures of odd texts, against the builders that count one class each and against the SQL."""
+    long = "宣布上市" * 300_000  # longer than the part that is looked up at once
+    texts = ["", " ", "港股", "A的", "ࡰ的", "𨋢𠀀🙂a", "百分百分%%9百", "報9報x報恒生恒生指數", "宣宣布布公布收市收入", "洗黑錢\x00\n恒指", long, "的 " + long, "x" + "收市9" * 400_000, "平" * 40]
+    for p in (chars.HAN, chars.LATIN):
+        m = chars.measures(F.col("t"), p)
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, t string").select("i", "t", F.struct(*[v.alias(k) for k, v in m.items()]).alias("m"))
+        own = F.struct(chars.script_count(F.col("t"), p).alias("script"), chars.script_fraction(F.col("t"), p).alias("fraction"), chars.digit_density(F.col("t")).alias("density"), chars.is_studyable(F.col("t"), p).alias("studyable"))
+        got = rows.select("i", "m", own.alias("own")).orderBy("i").collect()
+        for r, t in zip(got, texts, strict=True):
+            if t != "ࡰ的":  # a letter that the JVM may not know yet
+                assert [r["m"][k] for k in r["own"].asDict()] == list(r["own"]), t[:20]
+            news, report = (sum(1 for _ in re.finditer(w, t)) for w in ("|".join(chars.NEWS_WORDS), "|".join(chars.REPORT_WORDS) + "|報[0-9]"))
+            assert r["m"]["score"] == news * 3 - report * 1.5 - (len(re.findall("[0-9]|%|百分", t)) / (len(t) + 1)) * 20, t[:20]
+        want = duckdb.sql(f"SELECT {oracles.fraction('t', p)} FROM (SELECT unnest({[t for t in texts if len(t) < 99 and chr(0) not in t]}) AS t)").fetchall()
+        assert [r["m"]["fraction"] for r, t in zip(got, texts, strict=True) if len(t) < 99 and chr(0) not in t] == [x for (x,) in want]
+    assert one(spark, lambda c: chars.counts(c), None, "") == [None, (0, 0, 0, 0, 0, 0)]
+    bad = spark.sql("SELECT cast(unhex('E79A84FF') AS string) AS t").select(chars.counts(F.col("t"))["script"]).first()[0]
+    assert bad == 1
+
+
+def test_han_measures_reads_texts_once(spark):
+    """One pass counts all: no regex for each measure, each word list and each use."""
+    plan = catalog.QUERIES["han_measures"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and plan.count("ArrowEvalPython [count(") == 1 and plan.count("count(t#") == 1
+
+
 @pytest.mark.parametrize("f,c", [("市場認為表現理想", "市場覺得表現理想"), ("該公司增長", "嗰間公司有增長"), ("將進行一次會議", "會開一個會"), ("該公司宣布季度收益增長15%", "呢間公司公布季度收益升咗15%"), ("完全相同的句子。", "完全相同的句子。")])
 def test_align(f, c):
     pairs = align.align(f, c)
